@@ -180,14 +180,15 @@ def _(d):
 
 @check(
     "k3_overwrite_day_partitions",
-    f"""SELECT ds, {K}, y FROM salesd WHERE ds::DATE NOT IN (SELECT ds::DATE FROM batch)
+    f"""SELECT ds, {K}, y FROM salesd WHERE (location_id, ds::DATE)
+        NOT IN (SELECT (location_id, ds::DATE) FROM batch)
     UNION ALL SELECT ds, {K}, y FROM batch""",
 )
 def _(d):
     path = new_path(d.spark, "actual")
     writers.write_day_partitions(d.sales_by_department, path)
     writers.write_day_partitions(d.batch, path)
-    return d.spark.read.schema(schemas.SALES).parquet(path)
+    return d.spark.read.schema(schemas.SALES).parquet(path).drop("date")
 
 
 @check(

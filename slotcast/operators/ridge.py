@@ -156,6 +156,8 @@ def predict(prepared: DataFrame, models: DataFrame, regressors: list[str]) -> Da
         *KEYS, _PERIOD, "ds", "y", "x", "span", "day", "trend", "holiday_factor", *regressors
     )
     months = rows.select(*KEYS, _PERIOD).distinct().join(models, KEYS)
+    # Renaming gives the two sides, which share a lineage, columns of their own.
+    months = months.toDF(*months.columns)
     by_month = [*KEYS, _PERIOD]
     return (
         rows.groupBy(*by_month)
