@@ -3,12 +3,14 @@
 ``yhat = trend * seasonal index * holiday factor``, each learnt on the training
 rows of the series. Every statistic is a window over a partition that contains the
 series key, so split, fit and prediction share one exchange and need no join back.
+Holiday labels are joined before that exchange, while rows are narrow.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotcast.functions.calendar import interval_of_day, slot_index
+from slotcast.operators.holidays import with_holiday_label
 from slotcast.operators.windows import with_enough_history, with_split
 from slotcast.schemas import KEYS, SLOTS_PER_DAY
 
@@ -44,13 +46,8 @@ def with_seasonal_index(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.withColumns(calendar).withColumn("seasonal", seasonal).drop("_dow", "_slot")
 
 
-def with_holiday_factor(df: DataFrame, labels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def with_holiday_factor(labelled: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """How far training rows with the same holiday label lie off; 1 for an unseen label."""
-    labelled = (
-        df.withColumn("date", F.to_date("ds"))
-        .join(labels, ["location_id", "date"], "left")
-        .drop("date")
-    )
     expected = F.col("trend") * F.col("seasonal")
     off = F.when(
         F.col("is_train") & F.col("holiday_label").isNotNull(),
@@ -73,10 +70,12 @@ def baseline_forecast(
     ``panel`` has one row per series and slot. ``labels`` comes from
     ``holidays.holiday_labels``.
     """
+    if labels is not None:
+        panel = with_holiday_label(panel, labels)
     split = with_enough_history(with_split(panel, keys=keys), min_rows, min_train, min_test)
     fitted = with_seasonal_index(with_trend(split, keys), keys)
     yhat = F.col("trend") * F.col("seasonal")
     if labels is not None:
-        fitted = with_holiday_factor(fitted, labels, keys)
+        fitted = with_holiday_factor(fitted, keys)
         yhat = yhat * F.col("holiday_factor")
     return fitted.filter(~F.col("is_train")).select(*keys, "ds", "y", yhat.alias("yhat"))

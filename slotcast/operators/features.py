@@ -59,18 +59,18 @@ def feature_matrix(
     ``is_spike``, which reads the row's own value, is left out. ``chunk_rows``
     evaluates the row windows over pieces of long series.
     """
-    df = with_calendar(panel)
+    # The joins come first: they would shuffle far wider rows after the windows.
+    scope = location if holiday_scope == "corporation" else None
+    df = hol.with_holiday_flag(panel, hol.holiday_dates(holidays, scope))
+    df = with_calendar(wx.with_hourly_weather(wx.with_postal_code(df, location), weather))
     if chunk_rows is None:
         df = with_history(df)
     else:
-        df = in_chunks(df, lambda keys: history_columns(keys), chunk_rows)
+        df = in_chunks(df, history_columns, chunk_rows)
     if train_only is None:
         df = with_spike(df)
     df = with_same_interval_lags(df, rows_per_day=rows_per_day)
-    df = with_profile(df, train_only)
-    scope = location if holiday_scope == "corporation" else None
-    df = hol.with_holiday_flag(df, hol.holiday_dates(holidays, scope))
-    return wx.with_hourly_weather(wx.with_postal_code(df, location), weather)
+    return with_profile(df, train_only)
 
 
 def fill_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -65,3 +65,9 @@ def holiday_labels(holidays: DataFrame, location: DataFrame) -> DataFrame:
     return location_holidays(location, per_corporation).select(
         "location_id", "date", "holiday_label"
     )
+
+
+def with_holiday_label(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add ``holiday_label``, NULL on ordinary days."""
+    dated = df.withColumn("date", F.to_date("ds"))
+    return dated.join(labels, ["location_id", "date"], "left").drop("date")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from slotcast.operators.baseline import with_holiday_factor, with_seasonal_index, with_trend
 from slotcast.operators.clean import long_enough
 from slotcast.operators.gapfill import future_slots
+from slotcast.operators.holidays import with_holiday_label
 from slotcast.operators.windows import TRAIN_SHARE, with_enough_history, with_split
 from slotcast.schemas import KEYS, SLOTS_PER_DAY
 
@@ -68,8 +69,14 @@ def _penalty(size: int) -> np.ndarray:
     return 1.0 / scale**2
 
 
-def prepare(split: DataFrame, labels: DataFrame | None, regressors: list[str]) -> DataFrame:
-    """Time axes, holiday factor and gap-free regressors of split series.
+def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return df.withColumn("holiday_label", F.lit(None).cast("string"))
+    return with_holiday_label(df, labels)
+
+
+def prepare(split: DataFrame, regressors: list[str]) -> DataFrame:
+    """Time axes, holiday factor and gap-free regressors of split, labelled series.
 
     A missing regressor value takes the median of its series' training rows, and so
     does every row to predict. Regressors are centred and scaled per series.
@@ -91,9 +98,7 @@ def prepare(split: DataFrame, labels: DataFrame | None, regressors: list[str]) -
         off_median = F.coalesce(known, median) - median
         spread = F.stddev_samp(known).over(series)
         df = df.withColumn(name, F.coalesce(F.try_divide(off_median, spread), F.lit(0.0)))
-    if labels is None:
-        return df.withColumn("holiday_factor", F.lit(1.0))
-    return with_holiday_factor(df, labels)
+    return with_holiday_factor(df)
 
 
 def _gram(regressors: list[str]):
@@ -180,8 +185,8 @@ def ridge_forecast(
 ) -> DataFrame:
     """Predictions with 95% interval for the held-out end of each long enough series."""
     names = list(regressors)
-    split = with_enough_history(with_split(panel), min_rows, min_train, min_test)
-    prepared = prepare(split, labels, names)
+    split = with_split(_labelled(panel, labels))
+    prepared = prepare(with_enough_history(split, min_rows, min_train, min_test), names)
     return predict(prepared, fit(prepared, names), names)
 
 
@@ -199,7 +204,7 @@ def ridge_future(
     both = known.select("ds", *KEYS, "y", "is_train", *names).unionByName(
         ahead, allowMissingColumns=True
     )
-    prepared = prepare(both, labels, names)
+    prepared = prepare(_labelled(both, labels), names)
     return predict(prepared, fit(prepared, names), names).drop("y")
 
 
