@@ -49,9 +49,13 @@ class Data:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            path = f"{self.folder}/{name}.parquet"
+            self._tables[name] = self.spark.read.parquet(path)
+        return self._tables[name]
 
     @property
     def events(self) -> DataFrame:

@@ -58,6 +58,7 @@ def tree_predictions(
 
     Profiles, validation rows and the quiet-series rule come from training rows
     only. The prepared matrix is written once: training passes over it many times.
+    Without a long enough series there is nothing to train and no prediction.
     """
     panel = long_enough(panel_of(tables.sales), limits.min_tree_rows)
     matrix = feature_matrix(
@@ -66,6 +67,8 @@ def tree_predictions(
     train_y = matrix.filter("is_train").select(*KEYS, "y")
     rows, names = evaluation_features(matrix, keep_warmup)
     rows = materialize(rows, "features")
+    if rows.isEmpty():
+        return rows.select("ds", *KEYS, "y", F.lit(None).cast("double").alias("yhat_b"))
     train = boosted.with_validation(rows.filter("is_train"))
     model = boosted.fit_trees(train, names, params)
     test = boosted.predict_trees(model, rows.filter("NOT is_train"), names)

@@ -95,6 +95,8 @@ def _tree_future(
     matrix = with_holiday_flag(with_profile(with_history(with_calendar(history))), dates)
     rows, names = production_features(matrix, keep_warmup)
     rows = materialize(rows, "features")
+    if rows.isEmpty():
+        return rows.select("ds", *KEYS, F.lit(None).cast("double").alias("yhat_b"))
     model = boosted.fit_trees(boosted.with_validation(rows), names, params)
     known = history.select("ds", *KEYS, "y")
     ahead = baseline.select("ds", *KEYS).join(known.select(*KEYS).distinct(), KEYS, "left_semi")
