@@ -2,7 +2,7 @@
 
 Model: a trend with changepoints, plus yearly, weekly and daily Fourier terms and
 optional regressors scaled by the straight trend line, which makes them
-multiplicative, times a holiday factor. Ridge penalties take the place of priors.
+multiplicative, times a holiday factor. Ridge penalties act as normal priors.
 
 A series is never gathered in one task. Each month of a series is reduced to its
 Gram matrix; adding the months up gives the normal equations of the series, and
@@ -28,9 +28,12 @@ from slotcast.schemas import KEYS, SLOTS_PER_DAY
 PERIODS = {365.25: 10, 7.0: 3, 1.0: 4}
 CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
+TREND_SCALE = 5.0
 CHANGEPOINT_SCALE = 0.05
 SEASONALITY_SCALE = 10.0
 INTERVAL_Z = 1.96
+# Rounds of estimating the residual variance, which sets the strength of the priors.
+VARIANCE_STEPS = 4
 
 _KEY_SCHEMA = ", ".join(f"{k} long" for k in KEYS)
 _PERIOD = "period"
@@ -62,11 +65,20 @@ def _design(pdf: pd.DataFrame, regressors: list[str]) -> np.ndarray:
     return np.column_stack([trend, line * np.column_stack(seasonal)])
 
 
-def _penalty(size: int) -> np.ndarray:
-    scale = np.full(size, SEASONALITY_SCALE)
-    scale[:2] = 1e3
-    scale[2 : 2 + CHANGEPOINTS] = CHANGEPOINT_SCALE
-    return 1.0 / scale**2
+def _prior_deviation(size: int, level: float, span: float) -> np.ndarray:
+    """Prior standard deviation of each coefficient.
+
+    A period the history does not cover in full is shrunk, as its terms would
+    otherwise be free to bend in any direction beyond the history.
+    """
+    trend = np.full(2 + CHANGEPOINTS, CHANGEPOINT_SCALE * level)
+    trend[:2] = TREND_SCALE * level
+    seasonal = [
+        np.full(2 * order, SEASONALITY_SCALE * min(1.0, span / period) ** 2)
+        for period, order in PERIODS.items()
+    ]
+    known = np.concatenate([trend, *seasonal])
+    return np.concatenate([known, np.full(size - len(known), SEASONALITY_SCALE)])
 
 
 def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -110,19 +122,27 @@ def _gram(regressors: list[str]):
         out["xy"] = [(design.T @ y).tobytes()]
         out["yy"] = [float(y @ y)]
         out["n"] = [len(y)]
+        out["span"] = [pdf["span"].iloc[0]]
         return out
 
     return reduce_month
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ridge solution from the added-up months, its strength set by the residual variance."""
     xy = sum(np.frombuffer(b) for b in pdf["xy"])
     xx = sum(np.frombuffer(b) for b in pdf["xx"]).reshape(len(xy), len(xy))
-    beta = np.linalg.solve(xx + np.diag(_penalty(len(xy))), xy)
-    squares = pdf["yy"].sum() - 2 * beta @ xy + beta @ xx @ beta
+    yy, n = pdf["yy"].sum(), pdf["n"].sum()
+    level = max(float(np.sqrt(yy / n)), 1e-9)
+    prior = _prior_deviation(len(xy), level, pdf["span"].max())
+    variance = level**2
+    for _ in range(VARIANCE_STEPS):
+        beta = np.linalg.solve(xx + np.diag(variance / prior**2), xy)
+        squares = yy - 2 * beta @ xy + beta @ xx @ beta
+        variance = max(squares / n, (1e-6 * level) ** 2)
     out = pdf[KEYS].head(1).copy()
     out["coefficients"] = [beta]
-    out["sigma"] = [float(np.sqrt(max(squares, 0.0) / pdf["n"].sum()))]
+    out["sigma"] = [float(np.sqrt(variance))]
     return out
 
 
@@ -133,7 +153,7 @@ def fit(prepared: DataFrame, regressors: list[str]) -> DataFrame:
         *KEYS, _PERIOD, "x", "span", "day", "trend", *regressors, target.alias("target")
     )
     months = train.groupBy(*KEYS, _PERIOD).applyInPandas(
-        _gram(regressors), f"{_KEY_SCHEMA}, xx binary, xy binary, yy double, n long"
+        _gram(regressors), f"{_KEY_SCHEMA}, xx binary, xy binary, yy double, n long, span double"
     )
     return months.groupBy(*KEYS).applyInPandas(
         _solve, f"{_KEY_SCHEMA}, coefficients array<double>, sigma double"
