@@ -380,7 +380,7 @@ _HISTORY = f"{_LAGS}, {_rolling('avg', 'mean')}, {_rolling('stddev_samp', 'std')
 
 @check("w_history_in_chunks", f"SELECT ds, {K}, y, {_HISTORY} FROM dense {_W}")
 def _(d):
-    rows = win.in_chunks(d.dense, win.history_columns, chunk_rows=700)
+    rows = win.in_chunks(d.dense, win.with_history, chunk_rows=700)
     columns = [f"rolling_{k}_{n}_15min" for n in win.ROLLING for k in ("mean", "std")]
     return rounded(rows, *columns, digits=5)
 

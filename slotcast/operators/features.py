@@ -14,7 +14,6 @@ from slotcast.operators.windows import (
     LAGS,
     ROLLING,
     ZERO_WINDOWS,
-    history_columns,
     in_chunks,
     with_history,
     with_same_interval_lags,
@@ -66,7 +65,7 @@ def feature_matrix(
     if chunk_rows is None:
         df = with_history(df)
     else:
-        df = in_chunks(df, history_columns, chunk_rows)
+        df = in_chunks(df, with_history, chunk_rows)
     if train_only is None:
         df = with_spike(df)
     df = with_same_interval_lags(df, rows_per_day=rows_per_day)

@@ -9,6 +9,8 @@ bound ``in_chunks`` runs the same functions over row ranges of fixed size.
 """
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,6 +23,10 @@ LAGS = [1, 4, 8, 96, 672]
 ROLLING = [4, 8, 96]
 ZERO_WINDOWS = [4, 96]
 SAME_INTERVAL_DAYS = 4
+# Rows per block from which longer rolling windows are merged, and the share of the
+# mean below which a merged deviation is rounding error.
+BLOCK = 8
+ROUNDING = 1e-12
 TRAIN_SHARE = 0.8
 
 
@@ -59,17 +65,97 @@ def zero_pattern_columns(
     return columns
 
 
-def history_columns(keys: list[str] = KEYS) -> dict[str, Column]:
-    return {
-        **lag_columns(keys=keys),
-        **rolling_mean_columns(keys=keys),
-        **rolling_std_columns(keys=keys),
-        **zero_pattern_columns(keys=keys),
+def with_history(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """All lags, rolling statistics and zero patterns.
+
+    A frame is evaluated anew for every row, which makes the day-long window the
+    most expensive one. Here only the short windows are frames; the long one is put
+    together from the ``BLOCK``-row statistics of earlier rows.
+    """
+    short = [n for n in ROLLING if n <= BLOCK]
+    block = previous(BLOCK, keys)
+    df = df.withColumns(
+        {
+            **lag_columns(keys=keys),
+            **rolling_mean_columns(short, keys),
+            **rolling_std_columns(short, keys),
+            **zero_pattern_columns([n for n in ZERO_WINDOWS if n <= BLOCK], keys),
+            "_rows": F.count("y").over(block),
+            "_mean": F.avg("y").over(block),
+            "_variance": F.var_pop("y").over(block),
+            "_zeros": F.sum(is_zero(F.col("y"))).over(block),
+        }
+    )
+    for n in ROLLING:
+        if n > BLOCK:
+            df = _with_merged_blocks(df, n, keys)
+    return df.drop(*_STATISTICS)
+
+
+_STATISTICS = ["_rows", "_mean", "_variance", "_zeros"]
+
+
+def _with_merged_blocks(df: DataFrame, window: int, keys: list[str]) -> DataFrame:
+    """Mean, deviation and zeros of the previous ``window`` rows, a multiple of ``BLOCK``.
+
+    Merging a few blocks at a time keeps the generated code of each step small
+    enough to be compiled. A deviation within rounding of equal values is 0.
+    """
+    size = BLOCK
+    df = df.withColumns({f"{name}_all": F.col(name) for name in _STATISTICS})
+    while size < window:
+        count = next(c for c in (4, 3, 2, window // size) if window // size % c == 0)
+        df = _merge(df, size, count, keys)
+        size *= count
+    rows, variance = F.col("_rows_all"), F.col("_variance_all")
+    std = F.sqrt(variance * F.try_divide(rows, rows - 1))
+    std = F.when(std > F.abs("_mean_all") * ROUNDING, std).otherwise(F.lit(0.0))
+    columns = {
+        f"rolling_mean_{window}_15min": F.col("_mean_all"),
+        f"rolling_std_{window}_15min": F.when(rows > 1, std),
     }
+    if window in ZERO_WINDOWS:
+        columns[f"zeros_in_last_{window}"] = F.col("_zeros_all")
+    return df.withColumns(columns).drop(*[f"{name}_all" for name in _STATISTICS])
 
 
-def with_history(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return df.withColumns(history_columns(keys))
+def _merge(df: DataFrame, size: int, count: int, keys: list[str]) -> DataFrame:
+    """Statistics of ``size`` rows become those of ``size * count`` rows.
+
+    Blocks merge by row count, mean and variance, which does not cancel as running
+    totals would.
+    """
+    earlier = {
+        f"{name}_{i}": F.lag(f"{name}_all", size * i).over(series_window(keys))
+        for name in _STATISTICS
+        for i in range(1, count)
+    }
+    df = df.withColumns(earlier)
+
+    def block(name: str, i: int) -> Column:
+        return F.col(f"{name}_{i}" if i else f"{name}_all")
+
+    def total(part: Callable[[int], Column]) -> Column:
+        return reduce(add, [F.coalesce(part(i), F.lit(0)) for i in range(count)])
+
+    weighted = total(lambda i: block("_rows", i) * block("_mean", i))
+    df = df.withColumn("_n", total(lambda i: block("_rows", i)))
+    df = df.withColumn("_m", F.try_divide(weighted, F.col("_n")))
+
+    def squares(i: int) -> Column:
+        off = block("_mean", i) - F.col("_m")
+        return block("_rows", i) * (block("_variance", i) + off * off)
+
+    return df.withColumns(
+        {
+            "_variance_all": F.try_divide(total(squares), F.col("_n")),
+            "_zeros_all": F.when(
+                F.col("_zeros_all").isNotNull(), total(lambda i: block("_zeros", i))
+            ),
+            "_rows_all": F.col("_n"),
+            "_mean_all": F.col("_m"),
+        }
+    ).drop(*earlier, "_n", "_m")
 
 
 def with_spike(df: DataFrame) -> DataFrame:
@@ -149,7 +235,7 @@ def number_rows(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def in_chunks(
     df: DataFrame,
-    window_columns: Callable[[list[str]], dict[str, Column]],
+    with_windows: Callable[[DataFrame, list[str]], DataFrame],
     chunk_rows: int,
     look_back: int = max(LAGS),
     keys: list[str] = KEYS,
@@ -159,8 +245,8 @@ def in_chunks(
     A series is cut into pieces of ``chunk_rows`` rows. The last ``look_back`` rows
     of a piece are copied to the next one, so each row still sees all rows its
     frames reach; the copies are dropped afterwards. No task holds more than
-    ``chunk_rows + look_back`` rows of a series. ``window_columns`` gets the
-    partition keys to use and must not look back further than ``look_back`` rows.
+    ``chunk_rows + look_back`` rows of a series. ``with_windows`` gets the frame and
+    the partition keys to use and must not look back further than ``look_back`` rows.
     """
     if chunk_rows < look_back:
         raise ValueError("a chunk must be at least as long as the look-back")
@@ -170,8 +256,4 @@ def in_chunks(
     targets = F.when(feeds_next, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
     pieces = number_rows(df, keys).withColumn("_chunk", F.explode(targets))
     own = F.floor((F.col("row") - 1) / chunk_rows) == F.col("_chunk")
-    return (
-        pieces.withColumns(window_columns([*keys, "_chunk"]))
-        .filter(own)
-        .drop("_chunk", "row")
-    )
+    return with_windows(pieces, [*keys, "_chunk"]).filter(own).drop("_chunk", "row")

@@ -72,7 +72,7 @@ def test_history_matches_pandas(spark, seed):
     want = expected_history(frame)
     for got in (
         win.with_history(panel),
-        win.in_chunks(panel, win.history_columns, chunk_rows=672),
+        win.in_chunks(panel, win.with_history, chunk_rows=672),
     ):
         got = got.toPandas().sort_values([*KEYS, "ds"]).reset_index(drop=True)
         assert len(got) == len(want)
@@ -91,6 +91,20 @@ def to_spark(spark, frame):
     )
 
 
+def test_constant_values_have_no_deviation(series):
+    rows = win.with_history(series([0.1] * 300)).orderBy("ds").collect()
+    assert all(r.rolling_std_96_15min == 0 for r in rows[2:])
+    assert rows[150].rolling_mean_96_15min == pytest.approx(0.1)
+
+
+def test_missing_values_are_skipped(series):
+    rows = win.with_history(series([None] * 10 + [2, 4, None, 0])).orderBy("ds").collect()
+    assert rows[5].rolling_mean_96_15min is None
+    last = rows[-1]
+    assert last.rolling_mean_96_15min == 3 and last.rolling_std_96_15min == pytest.approx(2**0.5)
+    assert last.zeros_in_last_96 == 0
+
+
 def test_row_numbers_match_window(spark):
     panel = to_spark(spark, random_panel(3))
     from pyspark.sql import functions as F
@@ -103,7 +117,7 @@ def test_row_numbers_match_window(spark):
 
 def test_chunk_shorter_than_look_back_is_refused(series):
     with pytest.raises(ValueError):
-        win.in_chunks(series([1, 2]), win.history_columns, chunk_rows=100)
+        win.in_chunks(series([1, 2]), win.with_history, chunk_rows=100)
 
 
 def test_same_interval_lag_is_one_day(spark, series):
