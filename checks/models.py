@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.data import LAST_DAY, r, rounded
 from checks.registry import check
-from checks.series import _HISTORY, _IMPROVEMENT, _REGRESSORS, _W, _WEIGHTS, _same_interval
+from checks.series import _HISTORY, _IMPROVEMENT, _REGRESSORS, _W, _same_interval
 from checks.sql import K, on
 from checks.sql import r as sql_r
 from checks.tables import _FUTURE, _JOINED, _PROFILE_SQL, _WX, LIMITS, payload_sql
@@ -57,6 +57,15 @@ def _(d):
     return rounded(baseline_forecast(d.panel, d.labels, **LIMITS), "yhat")
 
 
+@check(
+    "m1_baseline_without_series_windows",
+    f"SELECT ds, {K}, y, {sql_r('yhat', 4)} AS yhat FROM z_pred",
+)
+def _(d):
+    rows = baseline_forecast(d.dense, d.labels, whole_series=False)
+    return rounded(rows, "yhat", digits=4)
+
+
 @check("m1_baseline_dense", f"SELECT ds, {K}, y, {sql_r('yhat')} AS yhat FROM z_pred")
 def _(d):
     return rounded(baseline_forecast(d.dense, d.labels), "yhat")
@@ -235,7 +244,7 @@ def _(d):
     return rounded(rows, "yhat_final")
 
 
-@check("m9_weight_scores", f"SELECT weight, {sql_r('mae')} AS mae FROM ({_WEIGHTS})")
+@check("m9_weight_scores", f"SELECT weight, {sql_r('mae')} AS mae FROM weight_scores")
 def _(d):
     return rounded(blend.weight_scores(d.pairs), "mae")
 
@@ -243,7 +252,7 @@ def _(d):
 @check(
     "m9_search_blend",
     f"""SELECT ds, {K}, weight, {sql_r("weight * yhat + (1 - weight) * yhat_b")} AS yhat_final
-    FROM pairs CROSS JOIN (SELECT weight FROM ({_WEIGHTS}) ORDER BY mae, weight LIMIT 1)""",
+    FROM searched""",
 )
 def _(d):
     rows = blend.search_blend(d.pairs).select("ds", *KEYS, "weight", "yhat_final")
@@ -353,6 +362,20 @@ def _(d):
     return rounded(rows, "baseline_mae", "model_mae", "improvement_pct")
 
 
+@check(
+    "e2_best_weight_comparison",
+    f"""SELECT grain, weight, {sql_r("b.mae")} AS baseline_mae, {sql_r("f.mae")} AS model_mae,
+    {sql_r("(b.mae - f.mae) / nullif(b.mae, 0) * 100")} AS improvement_pct
+    FROM base_mae b JOIN searched_mae f USING (grain) CROSS JOIN best""",
+)
+def _(d):
+    pairs = d.pairs
+    rows = evaluation.compare_best_weight(
+        pairs.drop("yhat_b"), pairs.select("ds", *KEYS, "yhat_b")
+    ).drop("target_met")
+    return rounded(rows, "baseline_mae", "model_mae", "improvement_pct")
+
+
 @check("e3_production_forecast")
 def _(d):
     return production.production_forecast(

@@ -11,15 +11,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def check(name: str, sql: str | None = None):
-    """Register ``f(data) -> DataFrame`` under ``name``, with its oracle if SQL can say it."""
+def check(name: str, sql: str | None = None, **steps: str):
+    """Register ``f(data) -> DataFrame`` under ``name``, with its oracle if SQL can say it.
+
+    ``steps`` are named subqueries of this oracle alone.
+    """
 
     def register(build: Callable[[Data], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, folder: build(Data(spark, folder))
         if sql is not None:
-            ORACLES[name] = query(sql)
+            ORACLES[name] = query(sql, **steps)
         return build
 
     return register

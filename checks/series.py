@@ -16,6 +16,7 @@ from slotcast.operators import holidays as hol
 from slotcast.operators import profile as prof
 from slotcast.operators import weather as wx
 from slotcast.operators import windows as win
+from slotcast.operators.features import EVALUATION_FEATURES
 from slotcast.operators.median import column_medians, narrowed_medians
 from slotcast.schemas import KEYS
 
@@ -369,7 +370,8 @@ def _(d):
 
 @check(
     "w_row_numbers_without_series_window",
-    f'SELECT ds, {K}, y, row_number() OVER (PARTITION BY {K} ORDER BY ds) AS "row" FROM panel',
+    f"""SELECT ds, {K}, y, row_number() OVER (PARTITION BY {K} ORDER BY ds) AS "row",
+    count(*) OVER (PARTITION BY {K}) AS "rows" FROM panel""",
 )
 def _(d):
     return win.number_rows(d.panel)
@@ -385,6 +387,27 @@ def _(d):
     return rounded(rows, *columns, digits=5)
 
 
+_PARTIAL = "hour minute interval_of_day dayofweek dayofmonth weekofyear is_weekend".split() + [
+    *[f"lag_{n}_15min" for n in win.LAGS],
+    *[f"rolling_{k}_{n}_15min" for n in win.ROLLING for k in ("mean", "std")],
+    "prev_was_zero", "zeros_in_last_4", "zeros_in_last_96",
+]
+
+
+@check(
+    "p15_existing_features",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count({c}) AS non_null FROM partial_matrix" for c in _PARTIAL
+    ),
+    partial_matrix=f"SELECT *, {_HISTORY} FROM calendar {_W}",
+)
+def _(d):
+    rows = win.with_history(cal.with_calendar(d.panel))
+    names = clean.existing(EVALUATION_FEATURES, rows)
+    counts = rows.agg(*[F.count(c).alias(c) for c in names])
+    return counts.unpivot([], names, "feature", "non_null")
+
+
 # Ordering
 
 
@@ -418,16 +441,9 @@ def _(d):
     return d.panel.select("location_id").distinct().orderBy("location_id")
 
 
-_WEIGHTS = " UNION ALL ".join(
-    f"""SELECT {w}::DOUBLE AS weight, median(e) AS mae FROM (SELECT {K},
-    avg(abs(y - ({w}::DOUBLE * yhat + (1 - {w}::DOUBLE) * yhat_b))) AS e FROM pairs GROUP BY ALL)"""
-    for w in blend.SEARCH_WEIGHTS
-)
-
-
 @check(
     "o5_best_weight",
-    f"""SELECT weight, {sql_r("mae")} AS mae FROM ({_WEIGHTS}) ORDER BY mae, weight LIMIT 1""",
+    f"SELECT weight, {sql_r('mae')} AS mae FROM best",
 )
 def _(d):
     return rounded(blend.best_weight(blend.weight_scores(d.pairs)), "mae")

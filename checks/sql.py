@@ -198,6 +198,16 @@ CTES |= scores_ctes("pairs", "yhat", "base")
 CTES |= scores_ctes("blended", "yhat_final", "final")
 CTES |= scores_ctes("e_pred", "yhat", "esc")
 CTES |= scores_ctes("l_pred", "yhat", "lsc")
+_WEIGHTED = " UNION ALL ".join(
+    f"""SELECT {w}::DOUBLE AS weight, median(e) AS mae FROM (SELECT {K},
+    avg(abs(y - ({w}::DOUBLE * yhat + (1 - {w}::DOUBLE) * yhat_b))) AS e FROM pairs GROUP BY ALL)"""
+    for w in (0.1, 0.2, 0.3, 0.4, 0.5)
+)
+CTES["weight_scores"] = _WEIGHTED
+CTES["best"] = "SELECT weight, mae FROM weight_scores ORDER BY mae, weight LIMIT 1"
+CTES["searched"] = """SELECT p.*, weight, weight * yhat + (1 - weight) * yhat_b AS yhat_final
+    FROM pairs p CROSS JOIN (SELECT weight FROM best)"""
+CTES |= scores_ctes("searched", "yhat_final", "searched")
 CTES["grid"] = """SELECT l.id AS location_id, t.id AS sales_type_id,
         CAST(NULL AS BIGINT) AS department_id, l.corporation_id, t.level FROM location l
         JOIN sales_type t USING (corporation_id) WHERE t.forecast_enabled AND t.level = 'L'

@@ -458,16 +458,6 @@ def _(d):
     return rounded(filled, *_PROFILE_NAMES).select("ds", *KEYS, *_PROFILE_NAMES)
 
 
-@check("p15_existing_features")
-def _(d):
-    from slotcast.operators.features import EVALUATION_FEATURES
-
-    rows = with_history(with_calendar(d.panel))
-    names = clean.existing(EVALUATION_FEATURES, rows)
-    counts = rows.agg(*[F.count(c).alias(c) for c in names])
-    return counts.unpivot([], names, "feature", "non_null")
-
-
 _LAG672 = f"""SELECT ds, {K}, y, lag(y, 672) OVER (PARTITION BY {K} ORDER BY ds) AS lag_672_15min
     FROM dense"""
 

@@ -81,27 +81,24 @@ def _prior_deviation(size: int, level: float, span: float) -> np.ndarray:
     return np.concatenate([known, np.full(size - len(known), SEASONALITY_SCALE)])
 
 
-def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return df.withColumn("holiday_label", F.lit(None).cast("string"))
-    return with_holiday_label(df, labels)
-
-
 def prepare(split: DataFrame, regressors: list[str]) -> DataFrame:
-    """Time axes, holiday factor and gap-free regressors of split, labelled series.
+    """Time axes, holiday factor and gap-free regressors of split series.
 
     A missing regressor value takes the median of its series' training rows, and so
-    does every row to predict. Regressors are centred and scaled per series.
+    does every row to predict. Regressors are centred and scaled per series. The
+    holiday factor is 1 unless the rows carry a ``holiday_label``.
     """
     series = Window.partitionBy(*KEYS)
-    df = with_seasonal_index(with_trend(split))
+    df = with_trend(split)
     last_train = F.max(F.when(F.col("is_train"), F.col("x"))).over(series)
     minutes = F.hour("ds") * 60 + F.minute("ds")
+    month = F.year("ds") * 12 + F.month("ds")
     df = df.withColumns(
         {
             "span": F.greatest(last_train, F.lit(1.0 / SLOTS_PER_DAY)),
             "day": F.unix_date(F.to_date("ds")) + minutes / (24 * 60),
-            _PERIOD: F.year("ds") * 12 + F.month("ds"),
+            _PERIOD: month,
+            "last_period": F.max(month).over(series),
         }
     )
     for name in regressors:
@@ -110,7 +107,9 @@ def prepare(split: DataFrame, regressors: list[str]) -> DataFrame:
         off_median = F.coalesce(known, median) - median
         spread = F.stddev_samp(known).over(series)
         df = df.withColumn(name, F.coalesce(F.try_divide(off_median, spread), F.lit(0.0)))
-    return with_holiday_factor(df)
+    if "holiday_label" not in df.columns:
+        return df.withColumn("holiday_factor", F.lit(1.0))
+    return with_holiday_factor(with_seasonal_index(df))
 
 
 def _gram(regressors: list[str]):
@@ -122,7 +121,8 @@ def _gram(regressors: list[str]):
         out["xy"] = [(design.T @ y).tobytes()]
         out["yy"] = [float(y @ y)]
         out["n"] = [len(y)]
-        out["span"] = [pdf["span"].iloc[0]]
+        for name in ("span", _PERIOD, "last_period"):
+            out[name] = pdf[name].iloc[0]
         return out
 
     return reduce_month
@@ -141,22 +141,27 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         squares = yy - 2 * beta @ xy + beta @ xx @ beta
         variance = max(squares / n, (1e-6 * level) ** 2)
     out = pdf[KEYS].head(1).copy()
+    # Months that can hold rows to predict.
+    out["periods"] = [np.arange(pdf[_PERIOD].max(), pdf["last_period"].iloc[0] + 1)]
     out["coefficients"] = [beta]
     out["sigma"] = [float(np.sqrt(variance))]
     return out
 
 
 def fit(prepared: DataFrame, regressors: list[str]) -> DataFrame:
-    """Coefficients and residual deviation per series."""
+    """Coefficients, residual deviation and months to predict per series."""
     target = F.coalesce(F.try_divide(F.col("y"), F.col("holiday_factor")), F.col("y"))
     train = prepared.filter("is_train AND y IS NOT NULL").select(
-        *KEYS, _PERIOD, "x", "span", "day", "trend", *regressors, target.alias("target")
-    )
+        *KEYS, _PERIOD, "last_period", "x", "span", "day", "trend", *regressors,
+        target.alias("target"),
+    )
     months = train.groupBy(*KEYS, _PERIOD).applyInPandas(
-        _gram(regressors), f"{_KEY_SCHEMA}, xx binary, xy binary, yy double, n long, span double"
+        _gram(regressors),
+        f"{_KEY_SCHEMA}, xx binary, xy binary, yy double, n long, span double, "
+        f"{_PERIOD} int, last_period int",
     )
     return months.groupBy(*KEYS).applyInPandas(
-        _solve, f"{_KEY_SCHEMA}, coefficients array<double>, sigma double"
+        _solve, f"{_KEY_SCHEMA}, periods array<int>, coefficients array<double>, sigma double"
     )
 
 
@@ -180,7 +185,7 @@ def predict(prepared: DataFrame, models: DataFrame, regressors: list[str]) -> Da
     rows = prepared.filter(~F.col("is_train")).select(
         *KEYS, _PERIOD, "ds", "y", "x", "span", "day", "trend", "holiday_factor", *regressors
     )
-    months = rows.select(*KEYS, _PERIOD).distinct().join(models, KEYS)
+    months = models.withColumn(_PERIOD, F.explode("periods")).drop("periods")
     # Renaming gives the two sides, which share a lineage, columns of their own.
     months = months.toDF(*months.columns)
     by_month = [*KEYS, _PERIOD]
@@ -205,7 +210,7 @@ def ridge_forecast(
 ) -> DataFrame:
     """Predictions with 95% interval for the held-out end of each long enough series."""
     names = list(regressors)
-    split = with_split(_labelled(panel, labels))
+    split = with_split(panel if labels is None else with_holiday_label(panel, labels))
     prepared = prepare(with_enough_history(split, min_rows, min_train, min_test), names)
     return predict(prepared, fit(prepared, names), names)
 
@@ -224,7 +229,9 @@ def ridge_future(
     both = known.select("ds", *KEYS, "y", "is_train", *names).unionByName(
         ahead, allowMissingColumns=True
     )
-    prepared = prepare(_labelled(both, labels), names)
+    if labels is not None:
+        both = with_holiday_label(both, labels)
+    prepared = prepare(both, names)
     return predict(prepared, fit(prepared, names), names).drop("y")
 
 

@@ -185,12 +185,22 @@ def with_same_interval_lags(
 
 
 def with_split(
-    df: DataFrame, train_share: float = TRAIN_SHARE, keys: list[str] = KEYS
+    df: DataFrame,
+    train_share: float = TRAIN_SHARE,
+    keys: list[str] = KEYS,
+    whole_series: bool = True,
 ) -> DataFrame:
-    """Add ``row``, ``rows`` and ``is_train``: the first ``int(rows * share)`` rows train."""
-    row = F.row_number().over(series_window(keys))
-    rows = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumns({"row": row, "rows": rows}).withColumn(
+    """Add ``row``, ``rows`` and ``is_train``: the first ``int(rows * share)`` rows train.
+
+    ``whole_series=False`` numbers the rows without a window over a whole series.
+    """
+    if whole_series:
+        row = F.row_number().over(series_window(keys))
+        rows = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        numbered = df.withColumns({"row": row, "rows": rows})
+    else:
+        numbered = number_rows(df, keys)
+    return numbered.withColumn(
         "is_train", F.col("row") <= F.floor(F.col("rows") * F.lit(train_share))
     )
 
@@ -208,7 +218,8 @@ def with_enough_history(
 
 
 def number_rows(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Add ``row``, the position of a row in its series, without a whole-series window.
+    """Add ``row``, the position in the series, and ``rows``, its length, without a
+    window over the whole series.
 
     Rows are counted per day, the day counts are summed up along the series, and
     only the rows of one day are ever ordered together.
@@ -220,10 +231,11 @@ def number_rows(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         .orderBy("_date")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        dated.groupBy(*by_day)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*by_day, F.coalesce(F.sum("_n").over(earlier_days), F.lit(0)).alias("_before"))
+    counts = dated.groupBy(*by_day).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        *by_day,
+        F.coalesce(F.sum("_n").over(earlier_days), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("rows"),
     )
     in_day = F.row_number().over(Window.partitionBy(*by_day).orderBy("ds"))
     return (
@@ -256,4 +268,4 @@ def in_chunks(
     targets = F.when(feeds_next, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
     pieces = number_rows(df, keys).withColumn("_chunk", F.explode(targets))
     own = F.floor((F.col("row") - 1) / chunk_rows) == F.col("_chunk")
-    return with_windows(pieces, [*keys, "_chunk"]).filter(own).drop("_chunk", "row")
+    return with_windows(pieces, [*keys, "_chunk"]).filter(own).drop("_chunk", "row", "rows")

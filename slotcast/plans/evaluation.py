@@ -11,7 +11,7 @@ from slotcast.operators.clean import long_enough
 from slotcast.operators.evaluate import comparison_report, evaluate
 from slotcast.operators.features import evaluation_features, feature_matrix
 from slotcast.operators.holidays import holiday_labels
-from slotcast.operators.profile import with_zero_rate
+from slotcast.operators.profile import series_profile
 from slotcast.operators.ridge import ridge_forecast
 from slotcast.operators.windows import with_split
 from slotcast.plans.panel import Tables, panel_of
@@ -64,7 +64,6 @@ def tree_predictions(
     matrix = feature_matrix(
         with_split(panel), tables.location, tables.weather, tables.holiday, train_only="is_train"
     )
-    train_y = matrix.filter("is_train").select(*KEYS, "y")
     rows, names = evaluation_features(matrix, keep_warmup)
     rows = materialize(rows, "features")
     if rows.isEmpty():
@@ -72,10 +71,8 @@ def tree_predictions(
     train = boosted.with_validation(rows.filter("is_train"))
     model = boosted.fit_trees(train, names, params)
     test = boosted.predict_trees(model, rows.filter("NOT is_train"), names)
-    rates = with_zero_rate(train_y, "train_zero_rate").select(*KEYS, "train_zero_rate").distinct()
-    cleaned = blend.post_process(
-        test.join(rates, KEYS, "left"), "yhat_b", zero_rate="train_zero_rate"
-    )
+    rates = series_profile(rows.filter("is_train")).select(*KEYS, "y_zero_rate")
+    cleaned = blend.post_process(test.join(rates, KEYS, "left"), "yhat_b", zero_rate="y_zero_rate")
     return cleaned.select("ds", *KEYS, "y", "yhat_b")
 
 

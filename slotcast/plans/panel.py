@@ -1,5 +1,6 @@
 """The tables a run works on."""
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from slotcast.operators.clean import (
     first_per_slot,
     fix_holiday_windows,
 )
+from slotcast.operators.gapfill import dense_slots
 from slotcast.sources import readers
 
 
@@ -34,6 +36,11 @@ def load_csv_tables(spark: SparkSession, folder: str, location_id: int | None =
     )
 
 
-def panel_of(sales: DataFrame) -> DataFrame:
-    """One row per series and slot, the form every per-series operator expects."""
-    return first_per_slot(fill_department(sales))
+def panel_of(sales: DataFrame, days: tuple[dt.date, dt.date] | None = None) -> DataFrame:
+    """One row per series and slot, the form every per-series operator expects.
+
+    Lags count rows. With ``days`` every slot between two dates exists, gaps as
+    zero, so that rows and time steps are the same.
+    """
+    panel = first_per_slot(fill_department(sales))
+    return panel if days is None else dense_slots(panel, *days)

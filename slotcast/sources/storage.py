@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,10 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(_CHECKPOINT_DIR, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError(f"set {_CHECKPOINT_DIR} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="slotcast-")
-        spark.conf.set(_CHECKPOINT_DIR, folder)
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="slotcast-")
+        folder = _local_folders[context.applicationId]
     return folder.rstrip("/")
 
 

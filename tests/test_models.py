@@ -11,7 +11,7 @@ from slotcast.operators.baseline import baseline_forecast
 from slotcast.operators.evaluate import series_mae
 from slotcast.operators.ridge import fit_status, ridge_forecast, ridge_future
 from slotcast.plans import evaluation, production
-from slotcast.plans.panel import Tables
+from slotcast.plans.panel import Tables, panel_of
 from slotcast.schemas import KEYS
 
 START = pd.Timestamp("2024-01-01")
@@ -69,6 +69,26 @@ def test_baseline_and_ridge_learn_the_season(spark, panel):
         assert series_mae(forecast).agg(F.max("mae_15min")).first()[0] < share * naive
 
 
+def test_baseline_without_series_windows_is_the_same(spark, panel):
+    labels = spark.createDataFrame(
+        [(0, dt.date(2024, 1, d), "a:0") for d in (5, 26)],
+        "location_id long, date date, holiday_label string",
+    )
+    gaps = panel.withColumn("y", F.when(F.dayofmonth("ds") != 9, F.col("y")))
+    for given in (None, labels):
+        a = baseline_forecast(gaps, given)
+        b = baseline_forecast(gaps, given, whole_series=False)
+        both = a.join(b.withColumnRenamed("yhat", "other"), [*KEYS, "ds"])
+        assert both.count() == a.count() == b.count()
+        assert both.filter("abs(yhat - other) > 1e-6").isEmpty()
+
+
+def test_panel_can_be_dense(spark, panel):
+    sparse = panel.filter("y > 0")
+    days = (dt.date(2024, 1, 1), dt.date(2024, 1, 28))
+    assert panel_of(sparse).count() < panel_of(sparse, days).count() == 2 * 28 * 96
+
+
 def test_ridge_fits_what_its_terms_can_say(spark):
     frame = seasonal_frame(series=1)
     hour = frame.ds.dt.hour + frame.ds.dt.minute / 60
