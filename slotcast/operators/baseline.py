@@ -13,6 +13,7 @@ from slotcast.functions.calendar import interval_of_day, slot_index
 from slotcast.operators.holidays import with_holiday_label
 from slotcast.operators.windows import with_enough_history, with_split
 from slotcast.schemas import KEYS, SLOTS_PER_DAY
+from slotcast.sources.storage import materialize
 
 TREND_FLOOR = 1.0
 
@@ -90,8 +91,10 @@ def _forecast_from_aggregates(split: DataFrame, keys: list[str]) -> DataFrame:
     """The forecast of split series from statistics that Spark adds up map-side.
 
     No task holds more of a series than its partial sums; a join in which one
-    series dominates is split by adaptive execution.
+    series dominates is split by adaptive execution. The split rows and the sums are
+    written once, as several aggregates read them.
     """
+    split = materialize(split, "split")
     trained = split.withColumns(
         {
             "x": slot_index(F.col("ds")) / SLOTS_PER_DAY,
@@ -117,6 +120,7 @@ def _forecast_from_aggregates(split: DataFrame, keys: list[str]) -> DataFrame:
     sums = with_line(train).groupBy(*cell).agg(
         F.sum(ratio).alias("_sum"), F.count(ratio).alias("_count")
     )
+    sums = materialize(sums, "season")
 
     def mean_by(columns: list[str], name: str) -> DataFrame:
         mean = F.try_divide(F.sum("_sum"), F.sum("_count"))
