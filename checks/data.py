@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.functions.calendar import slot_start
+from slotcast.functions.calendar import moment, slot_start
 from slotcast.operators.baseline import baseline_forecast
 from slotcast.operators.clean import fill_department
 from slotcast.operators.gapfill import dense_slots
@@ -250,7 +250,7 @@ class Data:
     @property
     def batch(self) -> DataFrame:
         """Re-delivered days with doubled values."""
-        days = F.col("ds").between(_ts(dt.date(2024, 1, 10)), _ts(dt.date(2024, 1, 12)))
+        days = F.col("ds").between(moment(dt.date(2024, 1, 10)), moment(dt.date(2024, 1, 12)))
         return self.sales_by_department.filter(days).withColumn("y", F.col("y") * 2)
 
     @property
@@ -267,6 +267,3 @@ class Data:
             .agg(F.sum("l_quantity").alias("y"))
         )
 
-
-def _ts(date: dt.date) -> Column:
-    return F.lit(date).cast("timestamp_ntz")

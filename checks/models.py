@@ -10,7 +10,7 @@ from checks.series import _HISTORY, _IMPROVEMENT, _REGRESSORS, _W, _same_interva
 from checks.sql import K, on
 from checks.sql import r as sql_r
 from checks.tables import _FUTURE, _JOINED, _PROFILE_SQL, _WX, LIMITS, payload_sql
-from slotcast.functions.calendar import with_calendar
+from slotcast.functions.calendar import moment, with_calendar
 from slotcast.operators import audit, blend, boosted, evaluate, features, gapfill, publish
 from slotcast.operators import profile as prof
 from slotcast.operators import weather as wx
@@ -279,8 +279,7 @@ _HALF = "(SELECT * FROM pairs WHERE ds >= TIMESTAMP '2024-01-28')"
 )
 def _(d):
     pairs = d.pairs
-    late = F.lit(dt.date(2024, 1, 28)).cast("timestamp_ntz")
-    model = pairs.filter(F.col("ds") >= late)
+    model = pairs.filter(F.col("ds") >= moment(dt.date(2024, 1, 28)))
     rows = blend.blend_or_baseline(pairs.drop("yhat_b"), model, "yhat_b")
     return rounded(rows.select("ds", *KEYS, "yhat_final"), "yhat_final")
 

@@ -11,7 +11,7 @@ from checks.sql import K, on
 from checks.sql import r as sql_r
 from slotcast import schemas
 from slotcast.functions import scalars as fn
-from slotcast.functions.calendar import to_business_time, to_clock_time, with_calendar
+from slotcast.functions.calendar import moment, to_business_time, to_clock_time, with_calendar
 from slotcast.operators import clean, evaluate, gapfill, hierarchy, overwrite, publish
 from slotcast.operators import holidays as hol
 from slotcast.operators import profile as prof
@@ -98,9 +98,7 @@ def _(d):
 )
 def _(d):
     first, last = dt.datetime(1996, 1, 1), dt.datetime(1997, 12, 31)
-    dates = F.col("o_orderdate").between(
-        F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")
-    )
+    dates = F.col("o_orderdate").between(moment(first), moment(last))
     return readers.scan(d.table("orders"), ["o_orderkey", "o_custkey", "o_totalprice"], dates)
 
 

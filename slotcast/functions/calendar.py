@@ -23,6 +23,11 @@ CALENDAR_FEATURES = [
 ]
 
 
+def moment(value: dt.date | dt.datetime) -> Column:
+    """A zone-less literal; ``F.lit`` of a datetime would read it in some zone."""
+    return F.lit(value.isoformat()).cast("timestamp_ntz")
+
+
 def _at(ds: Column, hours: Column, minutes: Column) -> Column:
     return F.to_date(ds).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours, minutes)
 
@@ -84,7 +89,7 @@ def business_range(
 
     ``shift`` is how long after midnight the business day begins.
     """
-    first = F.lit(start).cast("timestamp_ntz")
+    first = moment(start)
     last = slot_time(F.lit(end), F.lit(SLOTS_PER_DAY - 1))
     if shift is None:
         return first, last

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.functions.calendar import business_range, to_clock_time
+from slotcast.functions.calendar import business_range, moment, to_clock_time
 from slotcast.operators.clean import sparse_forecast
 from slotcast.schemas import KEYS
 
@@ -38,12 +38,8 @@ def replace_actuals(
     actual: DataFrame, new_rows: DataFrame, series: DataFrame, start: dt.datetime, end: dt.datetime
 ) -> DataFrame:
     """Re-ingest the actuals of the given series between two timestamps."""
-    scope = series.select(*KEYS).withColumns(
-        {
-            "start_ds": F.lit(start).cast("timestamp_ntz"),
-            "end_ds": F.lit(end).cast("timestamp_ntz"),
-        }
-    )
+    bounds = {"start_ds": moment(start), "end_ds": moment(end)}
+    scope = series.select(*KEYS).withColumns(bounds)
     return replace_ranges(actual, new_rows, scope)
 
 

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.functions.calendar import belongs_to_time, to_business_time
+from slotcast.functions.calendar import belongs_to_time, moment, to_business_time
 from slotcast.functions.scalars import blank_zeros
 from slotcast.operators.gapfill import day_arrays
 from slotcast.schemas import KEYS
@@ -24,8 +24,7 @@ def in_post_window(
     shifted: DataFrame, start: dt.date, end: dt.date, column: str = "ds"
 ) -> DataFrame:
     """Rows from ``start`` 00:00 up to, not including, the day after ``end``."""
-    first = F.lit(start).cast("timestamp_ntz")
-    after = F.lit(end + dt.timedelta(days=1)).cast("timestamp_ntz")
+    first, after = moment(start), moment(end + dt.timedelta(days=1))
     return shifted.filter((F.col(column) >= first) & (F.col(column) < after))
 
 
@@ -47,8 +46,7 @@ def business_day_arrays(
     every day between the bounds is filled without building a clock-time grid.
     A missing department is a series like any other.
     """
-    after = F.lit(end + dt.timedelta(days=2)).cast("timestamp_ntz")
-    window = F.col("ds").between(F.lit(start).cast("timestamp_ntz"), after)
+    window = F.col("ds").between(moment(start), moment(end + dt.timedelta(days=2)))
     placed = forecast.filter(window).join(
         shifts.select("location_id", "start_time_interval"), "location_id"
     )

@@ -2,10 +2,10 @@
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.functions.calendar import hour_start
+from slotcast.functions.calendar import hour_start, moment
 from slotcast.functions.scalars import code_part, comfort_level, intensity_level
 from slotcast.operators.clean import time_of_day
 from slotcast.operators.gapfill import dense_days
@@ -27,11 +27,7 @@ def hourly_weather(weather: DataFrame) -> DataFrame:
 
 def between_dates(df: DataFrame, start: dt.date, end: dt.date, column: str = "ds") -> DataFrame:
     """Rows between two dates as timestamps: the end date counts up to 00:00."""
-    return df.filter(F.col(column).between(_midnight(start), _midnight(end)))
-
-
-def _midnight(date: dt.date) -> Column:
-    return F.lit(date).cast("timestamp_ntz")
+    return df.filter(F.col(column).between(moment(start), moment(end)))
 
 
 def daily_weather(

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotcast.functions.calendar import moment, with_calendar
 from slotcast.operators import blend, boosted
 from slotcast.operators import weather as wx
 from slotcast.operators.clean import actuals_for_forecast, first_per_slot, long_enough, task_series
@@ -17,7 +18,6 @@ from slotcast.operators.profile import with_profile
 from slotcast.operators.publish import day_payload
 from slotcast.operators.ridge import ridge_future
 from slotcast.operators.windows import with_history
-from slotcast.functions.calendar import with_calendar
 from slotcast.schemas import KEYS, WEATHER_VALUES
 from slotcast.sources.storage import materialize
 
@@ -135,9 +135,7 @@ def reingest_actuals(
         store.sales_type,
         store.department,
     ).select(*KEYS)
-    bounds = F.col("ds").between(
-        F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    )
+    bounds = F.col("ds").between(moment(start), moment(end))
     g, n = grid.alias("g"), new_rows.filter(bounds).alias("n")
     same = F.lit(True)
     for key in KEYS:

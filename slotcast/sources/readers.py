@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotcast import schemas
+from slotcast.functions.calendar import moment
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
@@ -100,10 +101,7 @@ def forecasts_between(
     forecast: DataFrame, start: dt.datetime, end: dt.datetime, location_id: int | None = None
 ) -> DataFrame:
     """Forecast rows with ``start <= ds <= end``, for one location or all."""
-    bounds = F.col("ds").between(
-        F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    )
-    predicates = [bounds]
+    predicates = [F.col("ds").between(moment(start), moment(end))]
     if location_id is not None:
         predicates.append(F.col("location_id") == location_id)
     return scan(forecast, schemas.FORECAST.fieldNames(), *predicates)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotcast import schemas
+from slotcast.functions.calendar import moment
 from slotcast.operators import boosted, features
 from slotcast.operators.baseline import baseline_forecast
 from slotcast.operators.evaluate import series_mae
@@ -100,7 +101,7 @@ def test_ridge_fits_what_its_terms_can_say(spark):
 
 def test_test_values_do_not_leak(spark, panel):
     split_at = START + pd.Timedelta(minutes=15 * int(28 * 96 * 0.8))
-    late = F.col("ds") >= F.lit(split_at.to_pydatetime()).cast("timestamp_ntz")
+    late = F.col("ds") >= moment(split_at)
     changed = panel.withColumn("y", F.when(late, F.col("y") * 3 + 1).otherwise(F.col("y")))
     for fit in (baseline_forecast, ridge_forecast):
         a = fit(panel).select(*KEYS, "ds", F.round("yhat", 6).alias("yhat"))
