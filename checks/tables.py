@@ -16,7 +16,10 @@ from slotcast.operators import clean, evaluate, gapfill, hierarchy, overwrite, p
 from slotcast.operators import holidays as hol
 from slotcast.operators import profile as prof
 from slotcast.operators import weather as wx
+from slotcast.operators.audit import key_membership
 from slotcast.operators.baseline import baseline_forecast
+from slotcast.operators.blend import evaluation_blend, pair_predictions
+from slotcast.operators.features import fill_with_medians
 from slotcast.operators.windows import with_history
 from slotcast.plans.production import Store, reingest_actuals
 from slotcast.schemas import KEYS
@@ -162,6 +165,39 @@ def _(d):
     return document.select(*[r(f"{g}").alias(f"mae_{g}") for g in schemas.METRICS.fieldNames()])
 
 
+def _zero_rate_sql(column: str, of: str) -> str:
+    return f"""(SELECT coalesce(count(*) FILTER (y = 0 AND {column} = 0)
+        / nullif(count(*) FILTER ({of} = 0), 0), 0) FROM blended)"""
+
+
+@check(
+    "k2_write_comparison",
+    f"""SELECT grain, {sql_r("b.mae")} AS baseline_mae, {sql_r("f.mae")} AS model_mae,
+    {sql_r("(b.mae - f.mae) / b.mae * 100")} AS improvement_pct,
+    {sql_r(_zero_rate_sql("yhat_final", "yhat_final"))} AS zero_precision,
+    {sql_r(_zero_rate_sql("yhat_final", "y"))} AS zero_recall
+    FROM base_mae b JOIN final_mae f USING (grain)""",
+)
+def _(d):
+    pairs = d.pairs
+    final = evaluation_blend(pairs)
+    report = evaluate.comparison_report(
+        evaluate.evaluate(pairs), evaluate.evaluate(final, "yhat_final")
+    )
+    path = new_path(d.spark, "comparison")
+    writers.write_comparison(report, evaluate.zero_metrics(final, ["yhat", "yhat_final"]), path)
+    document = d.spark.read.schema(schemas.COMPARISON).json(path)
+    rates = F.col("zero_metrics")["yhat_final"]
+    grains = F.explode(F.map_keys("baseline_mae")).alias("grain")
+    rows = document.select("*", grains)
+    return rows.select(
+        "grain",
+        *[r(F.col(c)[F.col("grain")]).alias(c) for c in schemas.COMPARISON.fieldNames()[:3]],
+        r(rates["precision"]).alias("zero_precision"),
+        r(rates["recall"]).alias("zero_recall"),
+    )
+
+
 _REPLACED_ACTUALS = f"""SELECT s.ds, {K}, y FROM salesd s
     WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE
         b.location_id = s.location_id AND b.sales_type_id = s.sales_type_id
@@ -283,8 +319,6 @@ def _(d):
     FROM base_mae b JOIN final_mae f USING (grain)""",
 )
 def _(d):
-    from slotcast.operators.blend import evaluation_blend
-
     pairs = d.pairs
     final = evaluate.evaluate(evaluation_blend(pairs), "yhat_final")
     report = evaluate.comparison_report(evaluate.evaluate(pairs), final)
@@ -449,8 +483,6 @@ _PROFILE_NAMES = ["interval_mean", "interval_median", "interval_std", "interval_
     + f" FROM calendar c JOIN profile p USING ({K}, interval_of_day, dayofweek)",
 )
 def _(d):
-    from slotcast.operators.features import fill_with_medians
-
     rows = prof.with_profile(with_calendar(d.panel))
     filled = fill_with_medians(rows, _PROFILE_NAMES)
     return rounded(filled, *_PROFILE_NAMES).select("ds", *KEYS, *_PROFILE_NAMES)
@@ -572,8 +604,6 @@ def _(d):
 
 @check("j7_prediction_pairs", f"SELECT ds, {K}, y, yhat, yhat_b FROM pairs")
 def _(d):
-    from slotcast.operators.blend import pair_predictions
-
     pairs = d.pairs
     model = pairs.select("ds", *KEYS, "yhat_b")
     return pair_predictions(pairs.drop("yhat_b"), model, "yhat_b")
@@ -711,8 +741,6 @@ def _(d):
     WHERE location_id NOT IN (SELECT id FROM location)""",
 )
 def _(d):
-    from slotcast.operators.audit import key_membership
-
     return key_membership(d.panel, d.location)
 
 

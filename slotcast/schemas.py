@@ -88,3 +88,16 @@ PRIOR_SCALES = T.MapType(T.StringType(), T.DoubleType())
 METRICS = T.StructType(
     [T.StructField(grain, T.DoubleType()) for grain in ("15min", "hourly", "daily", "combined")]
 )
+
+_by_grain = T.MapType(T.StringType(), T.DoubleType())
+_zero_rates = T.StructType(
+    [T.StructField("precision", T.DoubleType()), T.StructField("recall", T.DoubleType())]
+)
+COMPARISON = T.StructType(
+    [
+        T.StructField("baseline_mae", _by_grain),
+        T.StructField("model_mae", _by_grain),
+        T.StructField("improvement_pct", _by_grain),
+        T.StructField("zero_metrics", T.MapType(T.StringType(), _zero_rates)),
+    ]
+)

@@ -4,7 +4,7 @@ Writers rebalance instead of repartitioning: adaptive execution then splits a
 partition that one large key would otherwise fill, and merges small ones.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotcast.functions.scalars import record_json
@@ -31,6 +31,29 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     document.select(*[F.col("m")[grain].alias(grain) for grain in grains]).write.json(path)
 
 
+def comparison_document(report: DataFrame, zeros: DataFrame) -> DataFrame:
+    """A comparison and its zero metrics as one nested row.
+
+    ``report`` has one row per grain, ``zeros`` one per predictor, so the maps are
+    small and the joined side is a single row.
+    """
+
+    def by_grain(column: str) -> Column:
+        pairs = F.collect_list(F.struct("grain", column))
+        return F.map_from_entries(pairs).alias(column)
+
+    scores = report.agg(
+        by_grain("baseline_mae"), by_grain("model_mae"), by_grain("improvement_pct")
+    )
+    rates = F.struct("predictor", F.struct("precision", "recall"))
+    zero_metrics = zeros.agg(F.map_from_entries(F.collect_list(rates)).alias("zero_metrics"))
+    return scores.crossJoin(F.broadcast(zero_metrics))
+
+
+def write_comparison(report: DataFrame, zeros: DataFrame, path: str) -> None:
+    comparison_document(report, zeros).write.json(path)
+
+
 def write_payload(payload: DataFrame, path: str) -> None:
     """One JSON object per line, one line per series and business day."""
     payload.select(record_json(*payload.columns).alias("value")).write.text(path)

@@ -74,13 +74,15 @@ def test_calendar_ignores_session_zone(spark, zone):
             slot=cal.slot_start(ds),
             number=cal.interval_of_day(ds),
             index=cal.slot_index(ds),
+            literal=cal.moment(dt.datetime(2024, 3, 10, 2, 30)),
             back=cal.slot_time(F.to_date(ds), cal.interval_of_day(ds)),
         )
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     days = (dt.date(2024, 3, 10) - dt.date(1970, 1, 1)).days
     slot = dt.datetime(2024, 3, 10, 2, 15)
-    assert got == [(dt.datetime(2024, 3, 10, 2), slot, 9, days * 96 + 9, slot)]
+    assert got == [(dt.datetime(2024, 3, 10, 2), slot, 9, days * 96 + 9,
+                    dt.datetime(2024, 3, 10, 2, 30), slot)]
 
 
 def test_business_range_covers_96_slots(spark):

@@ -9,6 +9,7 @@ from slotcast import schemas
 from slotcast.operators import blend, clean, evaluate, gapfill, hierarchy, overwrite, publish
 from slotcast.operators import holidays as hol
 from slotcast.operators.median import column_medians, narrowed_medians
+from slotcast.plans.panel import load_csv_tables
 from slotcast.schemas import KEYS
 from slotcast.sources import readers, storage, writers
 
@@ -336,6 +337,22 @@ def test_csv_keeps_leading_zeros_and_fractions(spark, tmp_path):
     assert readers.read_weather(spark, str(tmp_path / "w")).collect() == df.collect()
 
 
+def test_csv_folder_loads_and_filters(spark, tmp_path):
+    moments = [(at(i), 1 + i % 2, 10, None if i % 2 else 5, 1.0) for i in range(6)]
+    files = {
+        "sales": spark.createDataFrame(moments, schemas.SALES),
+        "weather": spark.createDataFrame([("007", T1, 1.0, 0.0, 0.0, 0.0)], schemas.WEATHER),
+        "holiday": holidays(spark),
+        "locations": locations(spark),
+    }
+    for name, rows in files.items():
+        writers.write_csv(rows, str(tmp_path / f"{name}.csv"))
+    tables = load_csv_tables(spark, str(tmp_path), location_id=2)
+    assert rows_of(tables.sales.distinct(), "location_id", "department_id")[0] == (2, 0)
+    assert tables.sales.count() == 3 and tables.location.count() == 1
+    assert tables.holiday.filter("lower_window > 0").isEmpty()
+
+
 def test_jdbc_options_are_parallel():
     options = readers.jdbc_options("jdbc:x", "actual", "ds", "2024-01-01", "2024-02-01", 16)
     assert options["numPartitions"] == "16" and options["partitionColumn"] == "ds"
