@@ -4,10 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from checks.data import LAST_DAY, r, rounded
+from checks.data import LAST_DAY, rounded
 from checks.registry import check
 from checks.series import _HISTORY, _IMPROVEMENT, _REGRESSORS, _W, _same_interval
-from checks.sql import K, on
+from checks.sql import K
 from checks.sql import r as sql_r
 from checks.tables import _FUTURE, _JOINED, _PROFILE_SQL, _WX, LIMITS, payload_sql
 from slotcast.functions.calendar import moment, with_calendar

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.data import FIRST_DAY, LAST_DAY, r, rounded
 from checks.registry import check
-from checks.sql import K, scores_ctes
+from checks.sql import K
 from checks.sql import r as sql_r
 from checks.tables import _PROFILE_NAMES, _PROFILE_SQL, _WX, baseline, payload_sql
 from slotcast.functions import calendar as cal
@@ -71,7 +71,8 @@ def _(d):
     return rounded(rows, *_WX)
 
 
-_REGRESSORS = f"""SELECT g.postal_code, g.ds, {sql_r("c")} AS comfort_level, {sql_r("i")} AS intensity
+_REGRESSORS = f"""SELECT g.postal_code, g.ds, {sql_r("c")} AS comfort_level,
+    {sql_r("i")} AS intensity
     FROM (SELECT postal_code, unnest(generate_series(min(ds::DATE)::TIMESTAMP,
             max(ds::DATE)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS ds FROM levels
           WHERE ds BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-30'
@@ -168,7 +169,8 @@ def _(d):
 
 @check(
     "a14_holiday_dates",
-    "SELECT DISTINCT l.id AS location_id, h.ds AS date FROM location l JOIN holiday h USING (corporation_id)",
+    """SELECT DISTINCT l.id AS location_id, h.ds AS date
+    FROM location l JOIN holiday h USING (corporation_id)""",
 )
 def _(d):
     return hol.holiday_dates(d.holiday, d.location)
@@ -430,7 +432,8 @@ def _(d):
 
 @check(
     "o3_daily_weather_by_date",
-    f"SELECT postal_code, weather_date, {_WX_SQL} FROM weather_daily ORDER BY weather_date, postal_code",
+    f"""SELECT postal_code, weather_date, {_WX_SQL} FROM weather_daily
+    ORDER BY weather_date, postal_code""",
 )
 def _(d):
     return rounded(d.weather_daily, *_WX).orderBy("weather_date", "postal_code")

@@ -105,7 +105,8 @@ CTES = {
     "hourly_weather": """SELECT postal_code, time_bucket(INTERVAL 1 HOUR, ds) AS hour_floor,
         avg(real_feel) AS real_feel, sum(precipitation) AS precipitation, sum(snow) AS snow,
         avg(coverage) AS coverage FROM weather GROUP BY ALL""",
-    "coded": """SELECT postal_code, ds, real_feel, split_part(weather_code, ':', 1) AS coverage_code,
+    "coded": """SELECT postal_code, ds, real_feel,
+        split_part(weather_code, ':', 1) AS coverage_code,
         split_part(weather_code, ':', 2) AS intensity_code,
         split_part(weather_code, ':', 3) AS weather_code FROM weather""",
     "levels": """SELECT *, CASE WHEN real_feel >= 18 AND real_feel <= 24 THEN 1
@@ -193,7 +194,8 @@ def scores_ctes(source: str, yhat: str, prefix: str) -> dict[str, str]:
 
 
 CTES["blended"] = """SELECT *, CASE WHEN (yhat < 1 AND yhat_b < 1) OR (yhat_b = 0 AND yhat < 2)
-    THEN 0.0::DOUBLE ELSE 0.15::DOUBLE * yhat + 0.85::DOUBLE * yhat_b END AS yhat_final FROM pairs"""
+    THEN 0.0::DOUBLE ELSE 0.15::DOUBLE * yhat + 0.85::DOUBLE * yhat_b END AS yhat_final
+    FROM pairs"""
 CTES |= scores_ctes("pairs", "yhat", "base")
 CTES |= scores_ctes("blended", "yhat_final", "final")
 CTES |= scores_ctes("e_pred", "yhat", "esc")

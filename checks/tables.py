@@ -336,14 +336,19 @@ def _(d):
     return clean.parse_ds(text)
 
 
-@check("p2_fill_department", f"SELECT ds, {K.replace('department_id', 'coalesce(department_id, 0) AS department_id')}, y FROM salesd")
+@check(
+    "p2_fill_department",
+    """SELECT ds, location_id, sales_type_id, coalesce(department_id, 0) AS department_id, y
+    FROM salesd""",
+)
 def _(d):
     return clean.fill_department(d.sales_by_department)
 
 
 @check(
     "p3_fix_lower_window",
-    "SELECT corporation_id, ds, holiday, -abs(lower_window) AS lower_window, upper_window FROM holiday",
+    """SELECT corporation_id, ds, holiday, -abs(lower_window) AS lower_window, upper_window
+    FROM holiday""",
 )
 def _(d):
     return clean.fix_holiday_windows(d.holiday)
@@ -475,12 +480,13 @@ _PROFILE_NAMES = ["interval_mean", "interval_median", "interval_std", "interval_
 
 @check(
     "p14_fill_median",
-    f"""SELECT c.ds, {K}, """
+    f"""SELECT ds, {K}, """
     + ", ".join(
-        f"{sql_r(f'coalesce(p.{c}, (SELECT median(q.{c}) FROM calendar z JOIN profile q USING ({K}, interval_of_day, dayofweek)))')} AS {c}"
+        f"{sql_r(f'coalesce({c}, (SELECT median({c}) FROM profiled))')} AS {c}"
         for c in _PROFILE_NAMES
     )
-    + f" FROM calendar c JOIN profile p USING ({K}, interval_of_day, dayofweek)",
+    + " FROM profiled",
+    profiled=f"SELECT * FROM calendar JOIN profile USING ({K}, interval_of_day, dayofweek)",
 )
 def _(d):
     rows = prof.with_profile(with_calendar(d.panel))
@@ -802,7 +808,8 @@ def _(d):
 def _(d):
     pairs = d.pairs
     base = pairs.select("ds", *KEYS, "yhat", F.lit("base").alias("model"))
-    second = pairs.select("ds", *KEYS, F.col("yhat_b").alias("yhat"), F.lit("second").alias("model"))
+    second = pairs.select("ds", *KEYS, F.col("yhat_b").alias("yhat"))
+    second = second.withColumn("model", F.lit("second"))
     return base.unionByName(second)
 
 
@@ -821,7 +828,8 @@ def _(d):
 
 @check(
     "u3_replace_is_scoped",
-    f"SELECT {K}, count(*) AS n_rows, {sql_r('sum(y)')} AS total FROM ({_REPLACED_ACTUALS}) GROUP BY ALL",
+    f"""SELECT {K}, count(*) AS n_rows, {sql_r("sum(y)")} AS total
+    FROM ({_REPLACED_ACTUALS}) GROUP BY {K}""",
 )
 def _(d):
     series = d.batch.select(*KEYS).distinct()

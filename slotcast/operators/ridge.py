@@ -129,7 +129,10 @@ def _gram(regressors: list[str]):
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ridge solution from the added-up months, its strength set by the residual variance."""
+    """Ridge solution from the added-up months, its strength set by the residual variance.
+
+    Its months run from the first with training rows to the last of the series.
+    """
     xy = sum(np.frombuffer(b) for b in pdf["xy"])
     xx = sum(np.frombuffer(b) for b in pdf["xx"]).reshape(len(xy), len(xy))
     yy, n = pdf["yy"].sum(), pdf["n"].sum()
@@ -141,15 +144,15 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         squares = yy - 2 * beta @ xy + beta @ xx @ beta
         variance = max(squares / n, (1e-6 * level) ** 2)
     out = pdf[KEYS].head(1).copy()
-    # Months that can hold rows to predict.
-    out["periods"] = [np.arange(pdf[_PERIOD].max(), pdf["last_period"].iloc[0] + 1)]
+    out["periods"] = [np.arange(pdf[_PERIOD].min(), pdf["last_period"].iloc[0] + 1)]
+    out["last_train"] = [pdf[_PERIOD].max()]
     out["coefficients"] = [beta]
     out["sigma"] = [float(np.sqrt(variance))]
     return out
 
 
 def fit(prepared: DataFrame, regressors: list[str]) -> DataFrame:
-    """Coefficients, residual deviation and months to predict per series."""
+    """Coefficients, residual deviation and months per series."""
     target = F.coalesce(F.try_divide(F.col("y"), F.col("holiday_factor")), F.col("y"))
     train = prepared.filter("is_train AND y IS NOT NULL").select(
         *KEYS, _PERIOD, "last_period", "x", "span", "day", "trend", *regressors,
@@ -161,7 +164,9 @@ def fit(prepared: DataFrame, regressors: list[str]) -> DataFrame:
         f"{_PERIOD} int, last_period int",
     )
     return months.groupBy(*KEYS).applyInPandas(
-        _solve, f"{_KEY_SCHEMA}, periods array<int>, coefficients array<double>, sigma double"
+        _solve,
+        f"{_KEY_SCHEMA}, periods array<int>, last_train int, "
+        "coefficients array<double>, sigma double",
     )
 
 
@@ -181,11 +186,18 @@ def _predict(regressors: list[str]):
     return predict_month
 
 
-def predict(prepared: DataFrame, models: DataFrame, regressors: list[str]) -> DataFrame:
-    rows = prepared.filter(~F.col("is_train")).select(
+def predict(
+    prepared: DataFrame, models: DataFrame, regressors: list[str], with_train: bool = False
+) -> DataFrame:
+    """Predictions of the rows held out, or of all rows."""
+    months = models.withColumn(_PERIOD, F.explode("periods"))
+    if not with_train:
+        prepared = prepared.filter(~F.col("is_train"))
+        months = months.filter(F.col(_PERIOD) >= F.col("last_train"))
+    months = months.drop("periods", "last_train")
+    rows = prepared.select(
         *KEYS, _PERIOD, "ds", "y", "x", "span", "day", "trend", "holiday_factor", *regressors
     )
-    months = models.withColumn(_PERIOD, F.explode("periods")).drop("periods")
     # Renaming gives the two sides, which share a lineage, columns of their own.
     months = months.toDF(*months.columns)
     by_month = [*KEYS, _PERIOD]
@@ -221,8 +233,12 @@ def ridge_future(
     labels: DataFrame | None = None,
     regressors: Sequence[str] = (),
     min_rows: int = 100,
+    with_history: bool = False,
 ) -> DataFrame:
-    """Fit on all of each long enough series and predict the ``days`` after it."""
+    """Fit on all of each long enough series and predict the ``days`` after it.
+
+    ``with_history`` predicts the timestamps of the history as well.
+    """
     names = list(regressors)
     known = long_enough(history, min_rows).withColumn("is_train", F.lit(True))
     ahead = future_slots(known, days).withColumn("is_train", F.lit(False))
@@ -232,7 +248,7 @@ def ridge_future(
     if labels is not None:
         both = with_holiday_label(both, labels)
     prepared = prepare(both, names)
-    return predict(prepared, fit(prepared, names), names).drop("y")
+    return predict(prepared, fit(prepared, names), names, with_history).drop("y")
 
 
 def fit_status(

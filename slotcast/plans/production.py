@@ -64,19 +64,21 @@ def production_forecast(
     min_tree_rows: int = boosted.MIN_ROWS,
     params: boosted.TreeParams = boosted.PRODUCTION_PARAMS,
     keep_warmup: bool = False,
+    with_history: bool = False,
 ) -> DataFrame:
     """Forecast ``(ds, keys, yhat)`` in business time for every long enough series.
 
-    Series too short for the tree model keep the baseline alone.
+    ``with_history`` forecasts the timestamps of the history as well. Series too short for the tree model keep the baseline alone.
     """
     history = materialize(task_history(store, run_date, history_days), "history")
     labels = holiday_labels(store.holiday, store.location)
     weathered = wx.with_daily_weather(
         wx.with_postal_code(history, store.location), store.weather
     )
-    baseline = materialize(
-        ridge_future(weathered, horizon_days, labels, WEATHER_VALUES, min_rows), "baseline"
+    baseline = ridge_future(
+        weathered, horizon_days, labels, WEATHER_VALUES, min_rows, with_history
     )
+    baseline = materialize(baseline, "baseline")
     trees = _tree_future(
         store, long_enough(weathered, min_tree_rows), baseline, params, keep_warmup
     )

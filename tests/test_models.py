@@ -145,6 +145,15 @@ def test_ridge_future_horizon(spark, panel):
         assert high == first + dt.timedelta(minutes=15 * (3 * 96 - 1))
 
 
+def test_ridge_can_predict_its_history(spark, panel):
+    both = ridge_future(panel, 1, with_history=True)
+    assert both.count() == both.select("ds", *KEYS).distinct().count() == 2 * 29 * 96
+    later = both.filter(F.col("ds") >= moment(dt.date(2024, 1, 29)))
+    alone = ridge_future(panel, 1)
+    columns = [*KEYS, "ds", F.round("yhat", 6)]
+    assert later.select(columns).exceptAll(alone.select(columns)).isEmpty()
+
+
 def test_chunked_matrix_equals_whole(spark, panel, side_tables):
     holiday, location, weather = side_tables
     whole = features.feature_matrix(panel, location, weather, holiday)

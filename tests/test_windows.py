@@ -5,19 +5,20 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from slotcast.functions.calendar import with_calendar
 from slotcast.operators import profile as prof
 from slotcast.operators import windows as win
-from slotcast.schemas import KEYS
+from slotcast.schemas import KEYS, SALES
 
 
 @pytest.mark.parametrize("n, train", [(10, 8), (13, 10), (1, 0), (5, 4)])
 def test_split_truncates(series, n, train):
     rows = win.with_split(series(range(n))).collect()
     assert sum(r.is_train for r in rows) == train
-    assert max(r.ds for r in rows if r.is_train) < min(r.ds for r in rows if not r.is_train) \
-        if train else True
+    order = [r.is_train for r in sorted(rows, key=lambda r: r.ds)]
+    assert order == sorted(order, reverse=True)
 
 
 def test_first_and_second_row(series):
@@ -86,9 +87,7 @@ def test_history_matches_pandas(spark, seed):
 
 
 def to_spark(spark, frame):
-    return spark.createDataFrame(
-        frame, "ds timestamp_ntz, location_id long, sales_type_id long, department_id long, y double"
-    )
+    return spark.createDataFrame(frame, SALES)
 
 
 def test_constant_values_have_no_deviation(series):
@@ -107,8 +106,6 @@ def test_missing_values_are_skipped(series):
 
 def test_row_numbers_match_window(spark):
     panel = to_spark(spark, random_panel(3))
-    from pyspark.sql import functions as F
-
     both = win.number_rows(panel).withColumn(
         "want", F.row_number().over(win.series_window())
     )
