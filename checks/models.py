@@ -381,6 +381,7 @@ def _(d):
         store(d),
         run_date=dt.date(2024, 1, 31),
         horizon_days=2,
+        min_rows=LIMITS["min_rows"],
         min_tree_rows=200,
         params=CHECK_TREES,
         keep_warmup=True,
