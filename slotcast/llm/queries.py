@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import packing, pieces, token_counts
+from slotcast.llm import host_trust, packing, pieces, quality, sql, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,26 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op1_quality_rules", sql.QUALITY_RULES)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"))
+
+
+URL_RULES = (
+    "allow com/",
+    "block example.com/en/",
+    "allow www.example.com/en/",
+    "block net/es/",
+    "block net/fr/",
+)
+
+
+@_query("op2_url_filters")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rules = [host_trust.parse_rule(r) for r in URL_RULES]
+    return host_trust.judge_urls(_table(spark, folder, "pages"), rules)
+
+
 @_query("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
