@@ -4,7 +4,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import host_trust, packing, pieces, quality, sql, token_counts
+from slotcast.llm import (
+    host_trust,
+    jaccard,
+    language,
+    packing,
+    pieces,
+    quality,
+    sql,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +54,16 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return host_trust.judge_urls(_table(spark, folder, "pages"), rules)
 
 
+@_query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return language.judge(_table(spark, folder, "documents"))
+
+
 @_query("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
@@ -54,6 +74,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"))
 
 
+@_query("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, folder, "documents"))
+
+
 @_query("op10_sentencepiece")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(_table(spark, folder, "documents"))

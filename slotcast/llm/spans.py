@@ -85,7 +85,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20
 ) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
+    """A 64-bit hash of each span of bytes or code points; spans are in order, side by side."""
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
@@ -94,7 +94,9 @@ def span_hashes(
         high = int(ends[last - 1])
         power, inverse = _power_tables(high - low)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_CODES[data[low:high]] * power[: high - low], out=sums[1:])
+        part = data[low:high]
+        codes = _CODES[part] if part.dtype == np.uint8 else mix(part + np.uint64(1)) | np.uint64(1)
+        np.cumsum(codes * power[: high - low], out=sums[1:])
         s, e = starts[first:last] - low, ends[first:last] - low
         out[first:last] = (sums[e] - sums[s]) * inverse[s]
         first = last
