@@ -3,8 +3,10 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slotcast.llm import (
+    forest,
     host_trust,
     jaccard,
     language,
@@ -69,6 +71,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+@_query("op7_nearest_neighbours")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @_query("op8_token_counts")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"))
