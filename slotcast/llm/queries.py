@@ -16,6 +16,7 @@ from slotcast.llm import (
     sql,
     token_counts,
     toxicity,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +72,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+@_query("op6_warc", sql.WARC)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, folder, "pages"))
+
+
 @_query("op7_nearest_neighbours")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return forest.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)

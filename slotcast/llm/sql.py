@@ -93,3 +93,20 @@ FROM counts c"""
 
 
 QUALITY_RULES = _quality().replace("\\\\x", "\\x")
+
+#: Base32 of a SHA-1: every five hex signs are four signs of base32.
+WARC = """
+WITH rows AS (
+  SELECT page_id, encode(coalesce(html, '')) AS p, sha1(coalesce(html, '')) AS d FROM pages),
+firsts AS (SELECT d, min(page_id) AS first FROM rows GROUP BY d),
+joined AS (
+  SELECT page_id, octet_length(p) AS payload_bytes, d, first,
+    first IS NOT NULL AND first IS DISTINCT FROM page_id AS again
+  FROM rows JOIN firsts USING (d))
+SELECT page_id, payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(d, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))::bigint) & 31)::bigint
+      + 1, 1) for i in range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to
+FROM joined"""
