@@ -125,7 +125,7 @@ class WarcReader(DataSourceReader):
                 room = self.most
             lots[-1].append(path)
             room -= size
-        return [Files(tuple(lot)) for lot in lots]
+        return [Files(tuple(lot)) for lot in lots or [[]]]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = _open(self.path)
