@@ -1,19 +1,42 @@
 """A training corpus in stages, each of which calls one operator of ``slotcast.llm``."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotcast.llm import packing
+from slotcast.llm import jaccard, packing, quality, toxicity
 from slotcast.sources.storage import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class-conditional models don't find toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    part = toxicity.fold(F.col("doc_id"))
+    return toxicity.clean(docs, toxicity.fit(docs, labels, part.isin(1, 2, 3), part == 4))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the quality limits of their language and source."""
+    return quality.clean(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return jaccard.first_of_each(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document left, as pieces of sequences of 1024 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_poor),
+    ("ngram_jaccard_join", drop_copies),
+    ("best_fit_packing", pack),
+]
 
-#: Tokenizers can't be told in SQL; tests compare with a brute-force version.
+#: Models and tokenizers can't be told in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -356,3 +356,25 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("part")).otherwise(F.col("k")).alias("component_id"),
     )
+
+
+def first_of_each(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    words: int = WORDS,
+    percent: int = SIMILARITY,
+) -> DataFrame:
+    """The documents with the smallest key of their component, with all their columns.
+
+    Rows with null keys stay, as no key can be told from another. Of rows that repeat a key
+    and a text one stays.
+    """
+    found = materialize(near_duplicates(docs, key, text, words, percent), "components")
+    gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.join(materialize(gone, "copies"), key, "left_anti").select(*docs.columns)
+    again = found.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > 1)
+    if again.isEmpty():
+        return kept
+    once = kept.filter(F.col(key).isNotNull()).dropDuplicates([key, text])
+    return once.unionByName(kept.filter(F.col(key).isNull()))

@@ -65,15 +65,15 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [n_words, word_chars, n_symbols, dup, repeat, n_lines]
 
 
-def text_counts(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the counts of every whole text."""
-    fields = [docs.select(c).schema[0] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+def text_counts(docs: DataFrame, text: str) -> DataFrame:
+    """All columns, and the counts of every whole text. Names of counts must be free."""
+    at, names = docs.columns.index(text), docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema += "".join(f", {c} long" for c in COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = spans.utf8(batch.column(len(keep)))
+            data, offsets = spans.utf8(batch.column(at))
             parts = [
                 _counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for a, b in spans.slices(offsets)
@@ -81,12 +81,11 @@ def text_counts(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else []
             columns = columns or [np.zeros(0, np.int64)] * len(COUNTS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))]
-                + [pa.array(c.astype(np.int64)) for c in columns],
-                names=[*keep, *COUNTS],
+                [*batch.columns, *[pa.array(c.astype(np.int64)) for c in columns]],
+                names=[*names, *COUNTS],
             )
 
-    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -167,6 +166,51 @@ def _fences(found: DataFrame, groups: list[str], reach: int, least: int) -> Data
     return found.groupBy(*groups).agg(*out) if groups else found.agg(*out)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Limits of each language and source, of each language, and of all documents."""
+
+    own: DataFrame
+    wide: DataFrame
+    overall: dict[str, int | None]
+
+
+def _with_base(counted: DataFrame) -> DataFrame:
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return counted.withColumn("base_failed", failed)
+
+
+def _limits(rows: DataFrame, reach: int, least: int) -> Limits:
+    """Limits from the counts of documents with language ``l`` and source ``s``."""
+    fine = materialize(sketches(rows.filter(~F.col("base_failed")), ["l", "s"]), "sketches")
+
+    def fences(groups: list[str], name: str) -> DataFrame:
+        merged = fine.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
+        found = _fences(quantiles(merged, groups), groups, reach, least)
+        return found.withColumnsRenamed({c: f"{name}_{c}" for c in found.columns})
+
+    own = materialize(fences(["l", "s"], "own"), "limits")
+    return Limits(own, materialize(fences(["l"], "wide"), "limits"), fences([], "all").first().asDict())
+
+
+def _judged(rows: DataFrame, limits: Limits) -> DataFrame:
+    """The rows with ``kept``."""
+    joined = rows
+    for name, groups, fence in (("own", "ls", limits.own), ("wide", "l", limits.wide)):
+        on = [rows[g].eqNullSafe(fence[f"{name}_{g}"]) for g in groups]
+        joined = joined.join(fence, reduce(lambda a, b: a & b, on), "left")
+    passed = F.lit(True)
+    for m in MEASURES:
+        for side in ("most", "least") if m.low else ("most",):
+            levels = [F.col(f"own_{m.name}_{side}"), F.col(f"wide_{m.name}_{side}")]
+            limit = F.coalesce(*levels, F.lit(limits.overall[f"all_{m.name}_{side}"]).cast("long"))
+            value = F.expr(m.expression)
+            inside = value <= limit if side == "most" else value >= limit
+            passed = passed & F.coalesce(inside, F.lit(True))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(passed)
+    return joined.withColumn("kept", kept)
+
+
 def judge(
     docs: DataFrame,
     key: str = "doc_id",
@@ -192,32 +236,33 @@ def judge(
 
     Returns ``key``, the counts, ``base_failed`` and ``kept``.
     """
-    plain = docs.select(
-        F.col(key).alias("k"), F.col(text).alias("t"), F.col(language).alias("l"), F.col(source).alias("s")
-    )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    counted = text_counts(plain, "t", ["k", "l", "s"]).withColumn("base_failed", failed)
-    rows = materialize(counted, "quality-counts")
-    fine = materialize(sketches(rows.filter(~F.col("base_failed")), ["l", "s"]), "sketches")
+    names = zip((key, text, language, source), "ktls", strict=True)
+    plain = docs.select(*[F.col(c).alias(name) for c, name in names])
+    rows = materialize(_with_base(text_counts(plain, "t").drop("t")), "quality-counts")
+    out = _judged(rows, _limits(rows, reach, least))
+    return out.select(F.col("k").alias(key), *COUNTS, "base_failed", "kept")
 
-    def fences(groups: list[str], name: str) -> DataFrame:
-        merged = fine.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
-        found = _fences(quantiles(merged, groups), groups, reach, least)
-        return found.withColumnsRenamed({c: f"{name}_{c}" for c in found.columns})
 
-    limits = rows
-    for name, groups in (("own", ["l", "s"]), ("wide", ["l"])):
-        fence = fences(groups, name)
-        on = [rows[g].eqNullSafe(fence[f"{name}_{g}"]) for g in groups]
-        limits = limits.join(fence, reduce(lambda a, b: a & b, on), "left")
-    overall = fences([], "all").first().asDict()
-    passed = F.lit(True)
-    for m in MEASURES:
-        for side in ("most", "least") if m.low else ("most",):
-            levels = [F.col(f"own_{m.name}_{side}"), F.col(f"wide_{m.name}_{side}")]
-            limit = F.coalesce(*levels, F.lit(overall[f"all_{m.name}_{side}"]).cast("long"))
-            value = F.expr(m.expression)
-            inside = value <= limit if side == "most" else value >= limit
-            passed = passed & F.coalesce(inside, F.lit(True))
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(passed)
-    return limits.select(F.col("k").alias(key), *COUNTS, "base_failed", kept.alias("kept"))
+def clean(
+    docs: DataFrame,
+    text: str = "text",
+    language: str = "lang",
+    source: str = "source",
+    reach: int = 3,
+    least: int = 200,
+) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns.
+
+    The limits come from the counts alone; texts then pass by the limits of their group
+    and aren't shuffled unless there are too many groups to broadcast.
+    """
+    names = zip((text, language, source), "tls", strict=True)
+    plain = docs.select(*[F.col(c).alias(name) for c, name in names])
+    rows = materialize(_with_base(text_counts(plain, "t").drop("t")), "quality-counts")
+    limits = _limits(rows, reach, least)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    full = _with_base(text_counts(numbered, place[text]))
+    full = full.withColumn("l", F.col(place[language])).withColumn("s", F.col(place[source]))
+    kept = _judged(full, limits).filter("kept")
+    return kept.select(*[F.col(n).alias(c) for c, n in place.items()])
