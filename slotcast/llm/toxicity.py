@@ -14,12 +14,14 @@ from slotcast.llm import letters, spans
 from slotcast.sources.storage import materialize
 
 #: Letters of the longest n-grams, with the one that is predicted.
-ORDER = 6
-_DISCOUNT = 0.75
+ORDER = 5
+_DISCOUNT = 0.9
 #: Size of the alphabet in the uniform distribution that ends the backoff.
 _ALPHABET = 100
 #: The words whose ratios decide a text.
 TELLING = 2
+#: Parts of words tell something from this ratio on.
+_LEAST = 2.0
 
 
 def fold(key: Column, folds: int = 5) -> Column:
@@ -62,26 +64,34 @@ def _hashes(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return context, spans.mix(context ^ spans.mix(codes))
 
 
-def word_ratios(words: letters.Words, model: Model) -> np.ndarray:
-    """Log of toxic to ordinary likelihood of each distinct word."""
+def word_ratios(words: letters.Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log of toxic to ordinary likelihood of each distinct word, and of its most telling part."""
     codes, begin = letters.flat(words)
     context, gram = _hashes(codes, begin)
     ratio, seen = _look_up(model.grams, model.gram_ratio, gram)
     backoff, _ = _look_up(model.contexts, model.context_ratio, context)
     each = np.where(seen, ratio, backoff)
     each[begin[:-1]] = 0.0  # the mark at the begin isn't predicted
-    return np.add.reduceat(each, begin[:-1]) if len(begin) > 1 else np.zeros(0)
+    if len(begin) < 2:
+        return np.zeros(0), np.zeros(0)
+    sums = np.cumsum(each)
+    sums -= np.repeat(sums[begin[:-1]], np.diff(begin))
+    # The largest rise of the sum within a word; a step down keeps words apart.
+    down = np.repeat(np.arange(len(begin) - 1) * -1e6, np.diff(begin))
+    rise = sums + down - np.minimum.accumulate(sums + down)
+    return np.add.reduceat(each, begin[:-1]), np.maximum.reduceat(rise, begin[:-1])
 
 
 def _measures(column: pa.Array, model: Model) -> np.ndarray:
-    """Three ratios of each text, a column each.
+    """Four ratios of each text, a column each.
 
-    Per word of its most telling words; per letter of the whole text; and in between, over
-    the square root of the letters, which is the size chance gives to the sum.
+    Per word of its most telling words; per letter of the whole text; over the square
+    root of the letters, which is the size chance gives to the sum; and in the same way of
+    the telling parts of its words.
     """
     rows = len(column)
     words = letters.words(column)
-    each = word_ratios(words, model)[words.which]
+    each, parts = (x[words.which] for x in word_ratios(words, model))
     size = (words.end - words.start)[words.which] + 1
     total = np.bincount(words.row, each, rows)
     count = np.maximum(np.bincount(words.row, size, rows), 1)
@@ -90,13 +100,17 @@ def _measures(column: pa.Array, model: Model) -> np.ndarray:
     n = np.bincount(words.row, minlength=rows)
     top = np.arange(len(row)) - (np.cumsum(n) - n)[row] < TELLING
     peak = np.bincount(row[top], each[order][top], rows) / TELLING
-    return np.stack([np.clip(peak, -10, 30), total / count, total / np.sqrt(count)], axis=1)
+    telling = np.bincount(words.row, np.maximum(parts - _LEAST, 0), rows) / np.sqrt(
+        np.maximum(n, 1)
+    )
+    peak = np.clip(peak, -10, 30)
+    return np.stack([peak, total / count, total / np.sqrt(count), telling], axis=1)
 
 
 def _all_measures(column: pa.Array, model: Model) -> np.ndarray:
     _, offsets = spans.utf8(column)
     parts = [_measures(column.slice(a, b - a), model) for a, b in spans.slices(offsets)]
-    return np.concatenate([np.zeros((0, 3)), *parts])
+    return np.concatenate([np.zeros((0, 4)), *parts])
 
 
 def _probability(measures: np.ndarray, model: Model) -> np.ndarray:
