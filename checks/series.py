@@ -17,7 +17,7 @@ from slotcast.operators import profile as prof
 from slotcast.operators import weather as wx
 from slotcast.operators import windows as win
 from slotcast.operators.features import EVALUATION_FEATURES
-from slotcast.operators.median import column_medians, narrowed_medians
+from slotcast.operators.median import column_medians, medians_by_column
 from slotcast.schemas import KEYS
 
 D10, D12 = dt.date(2024, 1, 10), dt.date(2024, 1, 12)
@@ -235,7 +235,24 @@ def _(d):
     ),
 )
 def _(d):
-    return rounded(narrowed_medians(d.weather, _WX, in_memory_rows=20), "median")
+    return rounded(medians_by_column(d.weather, _WX, cells=5), "median")
+
+
+@check(
+    "a19_medians_of_unusual_values",
+    """SELECT median(v) AS odd, median(v) FILTER (k <> 1) AS even, NULL::DOUBLE AS none
+    FROM (SELECT k, CASE WHEN k % 20 = 0 THEN 'NaN'::DOUBLE WHEN k % 20 = 1 THEN '-Infinity'::DOUBLE
+        ELSE k END AS v FROM (SELECT real_feel::BIGINT + 45 AS k FROM weather))""",
+)
+def _(d):
+    k = (F.col("real_feel") + 45).cast("long")
+    odd = F.when(k % 20 == 0, float("nan")).when(k % 20 == 1, float("-inf")).otherwise(k.cast("double"))
+    columns = {
+        "odd": odd,
+        "even": F.when(k != 1, odd),
+        "none": F.lit(None).cast("double"),
+    }
+    return column_medians(d.weather.select(*[c.alias(n) for n, c in columns.items()]), list(columns))
 
 
 @check(
@@ -493,13 +510,17 @@ def _(d):
 
 @check(
     "g5_horizon_coverage",
-    """SELECT postal_code, count(*) AS days_found,
-    CASE WHEN count(*) < 10 THEN 1 ELSE 0 END AS is_partial FROM weather_daily
-    WHERE weather_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-25' GROUP BY ALL""",
+    """SELECT postal_code, count(weather_date) AS days_found,
+    CASE WHEN count(weather_date) < 10 THEN 1 ELSE 0 END AS is_partial
+    FROM (SELECT DISTINCT postal_code FROM location) LEFT JOIN (
+      SELECT postal_code, weather_date FROM weather_daily
+      WHERE weather_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-25') USING (postal_code)
+    GROUP BY ALL""",
 )
 def _(d):
     start = dt.date(2024, 1, 15)
-    return gapfill.horizon_coverage(d.weather_daily, "weather_date", start, 10, ["postal_code"])
+    places = d.location.select("postal_code")
+    return gapfill.horizon_coverage(places, d.weather_daily, "weather_date", start, 10)
 
 
 @check("g6_holiday_windows", "SELECT corporation_id, holiday, day_offset, date FROM holiday_days")
@@ -632,11 +653,12 @@ def _(d):
 
 @check(
     "f16_round_forecast",
-    f"SELECT ds, {K}, round(yhat / 3 + 1e-9, 2) AS yhat FROM forecast",
+    f"SELECT ds, {K}, round_even(floor(yhat) / 8, 2) AS yhat FROM forecast",
 )
 def _(d):
-    thirds = d.forecast.withColumn("yhat", F.col("yhat") / 3 + 1e-9)
-    return publish.rounded(thirds).select("ds", *KEYS, "yhat")
+    # Eighths have their third digit at a tie.
+    eighths = d.forecast.withColumn("yhat", F.floor("yhat") / 8)
+    return publish.rounded(eighths).select("ds", *KEYS, "yhat")
 
 
 @check(

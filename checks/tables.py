@@ -212,22 +212,16 @@ def _(d):
     return overwrite.replace_actuals(d.sales_by_department, d.batch, series, T10, T12)
 
 
-@check(
-    "k3_overwrite_day_partitions",
-    f"""SELECT ds, {K}, y FROM salesd WHERE (location_id, ds::DATE)
-        NOT IN (SELECT (location_id, ds::DATE) FROM batch)
-    UNION ALL SELECT ds, {K}, y FROM batch""",
-)
+@check("k3_overwrite_day_partitions", _REPLACED_ACTUALS)
 def _(d):
     path = new_path(d.spark, "actual")
     writers.write_day_partitions(d.sales_by_department, path)
-    writers.write_day_partitions(d.batch, path)
+    series = d.batch.select(*KEYS).distinct()
+    overwrite.store_actuals(path, d.batch, series, T10, T12)
     return d.spark.read.schema(schemas.SALES).parquet(path).drop("date")
 
 
-@check(
-    "k4_replace_forecasts",
-    f"""SELECT f.ds, {K}, yhat FROM forecast f WHERE NOT EXISTS (
+_REPLACED_FORECASTS = f"""SELECT f.ds, {K}, yhat FROM forecast f WHERE NOT EXISTS (
         SELECT 1 FROM panel p JOIN shifts s USING (location_id)
         WHERE {on("p", "f", "location_id, sales_type_id")}
         AND p.department_id IS NOT DISTINCT FROM f.department_id
@@ -236,13 +230,29 @@ def _(d):
     UNION ALL SELECT p.ds + s.start_time_interval, {K}, round(y - 20, 2)
     FROM panel p JOIN shifts s USING (location_id)
     WHERE p.ds BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 23:45'
-    AND round(y - 20, 2) > 0""",
-)
-def _(d):
-    made = clean.business_days(d.panel, D10, D12).select(
+    AND round(y - 20, 2) > 0"""
+
+
+def _made(d, last):
+    return clean.business_days(d.panel, D10, last).select(
         "ds", *KEYS, F.round(F.col("y") - 20, 2).alias("yhat")
     )
-    return overwrite.replace_forecasts(d.forecast, made, d.shifts, D10, D12)
+
+
+@check("k4_replace_forecasts", _REPLACED_FORECASTS)
+def _(d):
+    return overwrite.replace_forecasts(d.forecast, _made(d, D12), d.shifts, D10, D12)
+
+
+@check("k4_stored_twice", _REPLACED_FORECASTS)
+def _(d):
+    """Rows made beyond the last day aren't stored, and a second run changes nothing."""
+    path = new_path(d.spark, "forecast")
+    writers.write_day_partitions(d.forecast, path)
+    made = _made(d, D12 + dt.timedelta(days=2))
+    for _ in range(2):
+        overwrite.store_forecasts(path, made, d.shifts, D10, D12)
+    return d.spark.read.schema(schemas.FORECAST).parquet(path).drop("date")
 
 
 @check(

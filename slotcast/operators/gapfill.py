@@ -101,13 +101,21 @@ def missing_dates(
 
 
 def horizon_coverage(
-    present: DataFrame, date: str, start: dt.date, days: int, keys: list[str]
+    keys: DataFrame, present: DataFrame, date: str, start: dt.date, days: int
 ) -> DataFrame:
-    """Rows per key from ``start`` to ``start + days``; partial when fewer than ``days``."""
+    """Rows per key from ``start`` to ``start + days``; partial when fewer than ``days``.
+
+    A key without any row has 0 days.
+    """
     last = start + dt.timedelta(days=days)
-    return (
+    found = (
         present.filter(F.col(date).between(F.lit(start), F.lit(last)))
-        .groupBy(*keys)
+        .groupBy(*keys.columns)
         .agg(F.count(F.lit(1)).alias("days_found"))
+    )
+    return (
+        keys.distinct()
+        .join(found, keys.columns, "left")
+        .withColumn("days_found", F.coalesce("days_found", F.lit(0)))
         .withColumn("is_partial", (F.col("days_found") < days).cast("int"))
     )

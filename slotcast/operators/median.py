@@ -1,101 +1,81 @@
-"""Exact medians of whole columns.
+"""Exact medians of whole columns, in one lazy plan for any number of rows.
 
-Spark's exact ``median`` keeps all distinct values of a group in one task. That is
-right for small groups; for a whole column it is used only up to a checked row
-count. Beyond that the column is first narrowed down, in parallel, to the few
-values around the middle.
+Spark's exact ``median`` keeps all distinct values of a group in one task. Here the values
+fall into cells between approximate quantiles, and only the values in the cells of the middle,
+a few thousandths of a percent, are ranked.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.sources.storage import materialize
+#: Cells that a column is cut into; a power of two.
+CELLS = 4096
 
-IN_MEMORY_ROWS = 5_000_000
-BUCKETS = 10_000
 
-
-def column_medians(
-    df: DataFrame, columns: list[str], in_memory_rows: int = IN_MEMORY_ROWS
-) -> DataFrame:
+def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row with the exact median of each column, ignoring NULLs.
 
-    Writes the columns once, so neither the row count nor any later pass
-    recomputes the input.
+    NaN counts as larger than any other value.
     """
-    values = materialize(df.select(*columns), "median")
-    if values.count() <= in_memory_rows:
-        return values.agg(*[F.median(c).alias(c) for c in columns])
-    medians = narrowed_medians(values, columns, in_memory_rows)
+    medians = medians_by_column(df, columns)
     return medians.groupBy().pivot("column", columns).agg(F.first("median"))
 
 
-def narrowed_medians(df: DataFrame, columns: list[str], in_memory_rows: int) -> DataFrame:
-    """Rows ``(column, median)`` by repeated narrowing.
+def medians_by_column(df: DataFrame, columns: list[str], cells: int = CELLS) -> DataFrame:
+    """Rows ``(column, median)``; none for a column without values.
 
-    Each round splits the value range into equal buckets, counts rows per bucket
-    and keeps the one bucket that holds the wanted rank, until at most
-    ``in_memory_rows`` distinct values per rank remain. The rank is carried along
-    exactly, so the result is the exact median.
+    Cells are ordered as the values are and counted exactly, so the result is exact
+    however far the quantiles between them are off.
     """
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
-    )
-    counted = (
-        df.select(pairs.alias("p"))
-        .select("p.*")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
     )
-    counted = materialize(counted, "median-values")
-    # The two middle ranks, counted from 0; equal when the row count is odd.
+    long = df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value").isNotNull())
+    values = long.groupBy("column", "value").agg(F.count("value").alias("copies"))
+    # The two middle ranks, counted from 0; equal when the number of rows is odd.
     rows = F.sum("copies")
-    ranks = counted.groupBy("column").agg(
-        F.floor((rows - 1) / 2).alias("low"), F.floor(rows / 2).alias("high")
+    shares = [i / cells for i in range(1, cells)]
+    heads = values.groupBy("column").agg(
+        F.floor((rows - 1) / 2).alias("low"),
+        F.floor(rows / 2).alias("high"),
+        F.percentile_approx("value", shares, 10_000).alias("ends"),
     )
-    ranks = ranks.unpivot("column", ["low", "high"], "side", "rank")
-    group = ["column", "side"]
-    sides = F.explode(F.array(F.lit("low"), F.lit("high")))
-    values = counted.withColumn("side", sides)
-    while True:
-        sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0]
-        if largest is None or largest <= in_memory_rows:
-            break
-        values, ranks = _narrow(values, ranks, group)
-    upto = F.sum("copies").over(Window.partitionBy(*group).orderBy("value"))
-    return (
-        values.withColumn("upto", upto)
-        .join(F.broadcast(ranks), group)
-        .filter(F.col("upto") > F.col("rank"))
-        .groupBy(*group)
-        .agg(F.min("value").alias("value"))
-        .groupBy("column")
-        .agg(F.avg("value").alias("median"))
+    celled = values.join(heads, "column").select(
+        "column", "value", "copies", "low", "high", _cell(cells).alias("cell")
     )
-
-
-def _narrow(
-    values: DataFrame, ranks: DataFrame, group: list[str]
-) -> tuple[DataFrame, DataFrame]:
-    # Broadcasts below hold at most one row per column and side.
-    ends = values.groupBy(*group).agg(F.min("value").alias("first"), F.max("value").alias("last"))
-    share = F.try_divide(F.col("value") - F.col("first"), F.col("last") - F.col("first"))
-    bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))
-    bucketed = values.join(F.broadcast(ends), group).withColumn("bucket", bucket)
-    upto = F.sum("rows").over(Window.partitionBy(*group).orderBy("bucket"))
-    hit = (
-        bucketed.groupBy(*group, "bucket")
-        .agg(F.sum("copies").alias("rows"))
-        .withColumn("below", upto - F.col("rows"))
-        .join(F.broadcast(ranks), group)
-        .filter(F.col("rank").between(F.col("below"), F.col("below") + F.col("rows") - 1))
-        .select(*group, "bucket", (F.col("rank") - F.col("below")).alias("rank"))
+    sizes = celled.groupBy("column", "cell").agg(
+        F.sum("copies").alias("rows"), F.first("low").alias("low"), F.first("high").alias("high")
+    )
+    last = F.sum("rows").over(Window.partitionBy("column").orderBy("cell"))
+    middle = (
+        sizes.withColumn("last", last)
+        .withColumn("before", F.col("last") - F.col("rows"))
+        .filter((F.col("before") <= F.col("high")) & (F.col("last") > F.col("low")))
+        .select("column", "cell", "before")
+    )
+    upto = F.col("before") + F.sum("copies").over(
+        Window.partitionBy("column", "cell").orderBy("value")
     )
-    hit = materialize(hit, "median-ranks")
-    kept = bucketed.join(F.broadcast(hit.drop("rank")), [*group, "bucket"], "left_semi")
-    return (
-        materialize(kept.select(*group, "value", "copies"), "median-values"),
-        hit.drop("bucket"),
+    hit = celled.join(middle, ["column", "cell"]).withColumn("upto", upto)
+    found = [
+        F.min(F.when(F.col("upto") > F.col(side), F.col("value"))).alias(side)
+        for side in ("low", "high")
+    ]
+    return hit.groupBy("column").agg(*found).select(
+        "column", _between(F.col("low"), F.col("high")).alias("median")
     )
+
+
+def _between(low: Column, high: Column) -> Column:
+    return F.when(low == high, low).otherwise(low / 2 + high / 2)
+
+
+def _cell(cells: int) -> Column:
+    """How many ends lie below the value, by binary search."""
+    steps = [1 << i for i in reversed(range((cells - 1).bit_length()))]
+
+    def halve(at: Column, step: Column) -> Column:
+        end = F.try_element_at("ends", at + step)
+        return at + F.when(F.col("value") > end, step).otherwise(0)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)

@@ -12,7 +12,8 @@ from slotcast.schemas import KEYS
 
 
 def rounded(forecast: DataFrame, digits: int = 2) -> DataFrame:
-    return forecast.withColumn("yhat", F.round("yhat", digits))
+    """Rounded to the nearest value, ties to the even one."""
+    return forecast.withColumn("yhat", F.bround("yhat", digits))
 
 
 def forecast_pairs(forecast: DataFrame) -> DataFrame:

@@ -9,16 +9,30 @@ from pyspark.sql import types as T
 from slotcast import schemas
 from slotcast.functions.calendar import moment
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+
+def _parsed(field: T.StructField) -> Column:
+    """A text field as its type. Blank is NULL; what doesn't parse fails the read.
+
+    Whole numbers may have a zero fraction, as other tools write columns with gaps. Timestamps
+    may lack seconds, have a fraction, or a ``T`` between date and time.
+    """
+    raw = F.nullif(F.trim(F.col(f"`{field.name}`")), F.lit(""))
+    if isinstance(field.dataType, T.StringType):
+        return F.col(f"`{field.name}`")
+    value = raw.try_cast(field.dataType)
+    if isinstance(field.dataType, T.IntegralType):
+        number = raw.try_cast("double")
+        whole = F.when(number == F.floor(number), number.cast("long"))
+        value = F.coalesce(value, whole.try_cast(field.dataType))
+    message = F.concat(F.lit(f"{field.name} can't be read: "), raw)
+    bad = raw.isNotNull() & value.isNull()
+    return F.when(bad, F.raise_error(message)).otherwise(value).alias(field.name)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-        .csv(path)
-    )
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    raw = spark.read.schema(texts).option("header", True).option("mode", "FAILFAST").csv(path)
+    return raw.select(*[_parsed(f).alias(f.name) for f in schema])
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:

@@ -4,11 +4,16 @@ Writers rebalance instead of repartitioning: adaptive execution then splits a
 partition that one large key would otherwise fill, and merges small ones.
 """
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotcast.functions.scalars import record_json
-from slotcast.sources.readers import TIMESTAMP_FORMAT
+from slotcast.sources.storage import materialize
+
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
 def write_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
@@ -60,15 +65,43 @@ def write_payload(payload: DataFrame, path: str) -> None:
 
 
 def write_day_partitions(facts: DataFrame, path: str, mode: str = "dynamic") -> None:
-    """Write facts by location and date, replacing only the partitions present.
+    """Write facts by date, sorted by location, replacing only the dates present.
 
     Rewriting the same days twice leaves the same table, so a retried job is safe.
     """
     (
         facts.withColumn("date", F.to_date("ds"))
-        .hint("rebalance", "location_id", "date")
-        .write.partitionBy("location_id", "date")
+        .hint("rebalance", "date")
+        .sortWithinPartitions("date", "location_id")
+        .write.partitionBy("date")
         .option("partitionOverwriteMode", mode)
         .mode("overwrite")
         .parquet(path)
     )
+
+
+def read_day_partitions(
+    spark: SparkSession, path: str, schema: T.StructType, first: dt.date, last: dt.date
+) -> DataFrame:
+    """Facts of some dates; other partitions aren't read."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("date", T.DateType())])).parquet(path)
+    return rows.filter(F.col("date").between(F.lit(first), F.lit(last))).drop("date")
+
+
+def store_day_partitions(
+    path: str, days: DataFrame, first: dt.date, last: dt.date, label: str = "days"
+) -> None:
+    """Replace the dates from ``first`` to ``last`` of a table by ``days``.
+
+    ``days`` may be derived from the same dates, so it's written to the shared folder
+    before any partition changes. Dates of the range left without rows become empty.
+    """
+    spark = days.sparkSession
+    staged = materialize(days, label)
+    write_day_partitions(staged, path)
+    # At most one row per date of the range on either side.
+    there = read_day_partitions(spark, path, staged.schema, first, last)
+    dates = F.to_date("ds").alias("date")
+    emptied = there.select(dates).distinct().exceptAll(staged.select(dates).distinct()).collect()
+    for row in emptied:
+        staged.limit(0).write.mode("overwrite").parquet(f"{path}/date={row['date'].isoformat()}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotcast import schemas
 from slotcast.operators import blend, clean, evaluate, gapfill, hierarchy, overwrite, publish
 from slotcast.operators import holidays as hol
-from slotcast.operators.median import column_medians, narrowed_medians
+from slotcast.operators.median import medians_by_column
 from slotcast.plans.panel import load_csv_tables
 from slotcast.schemas import KEYS
 from slotcast.sources import readers, storage, writers
@@ -109,8 +109,8 @@ def test_missing_dates_and_coverage(spark):
     present = spark.createDataFrame([("A", D1)], "postal_code string, d date")
     missing = gapfill.missing_dates(keys, present, "d", D1, D2)
     assert rows_of(missing, "*") == [("A", D2), ("B", D1), ("B", D2)]
-    coverage = gapfill.horizon_coverage(present, "d", D1, 2, ["postal_code"])
-    assert rows_of(coverage, "*") == [("A", 1, 1)]
+    coverage = gapfill.horizon_coverage(keys, present, "d", D1, 2)
+    assert rows_of(coverage, "*") == [("A", 1, 1), ("B", 0, 1)]
 
 
 # Holidays
@@ -187,6 +187,66 @@ def test_partition_overwrite_keeps_other_days(spark, sales, tmp_path):
     assert rows_of(got, "ds", "y") == [(T1, 7.0), (at(24), 2.0)]
 
 
+def test_stored_actuals_keep_siblings_and_clear_emptied_days(spark, sales, tmp_path):
+    path = str(tmp_path / "actual")
+    old = [(T1, 1, 10, None, 1.0), (T1, 1, 11, 5, 1.0), (at(24), 1, 10, None, 2.0), (at(72), 1, 10, None, 4.0)]
+    writers.write_day_partitions(sales(old), path)
+    new = sales([(T1, 1, 10, None, 9.0), (at(100), 1, 10, None, 8.0)])
+    for _ in range(2):
+        overwrite.store_actuals(path, new, new.select(*KEYS), T1, at(47))
+        got = spark.read.schema(schemas.SALES).parquet(path)
+        want = [(T1, 10, 9.0), (T1, 11, 1.0), (at(72), 10, 4.0)]
+        assert rows_of(got, "ds", "sales_type_id", "y") == want
+
+
+def test_stored_forecasts_stay_within_their_days(spark, tmp_path):
+    path = str(tmp_path / "forecast")
+    rows = [(T1, 1, 10, 5, 1.0), (at(24), 1, 10, 5, 1.0), (T1, 1, 10, 6, 1.0)]
+    writers.write_day_partitions(spark.createDataFrame(rows, schemas.FORECAST), path)
+    made = spark.createDataFrame(
+        [(at(24 * i), 1, 10, 5, 3.0 + i) for i in range(3)], schemas.FORECAST
+    )
+    for _ in range(2):
+        overwrite.store_forecasts(path, made, shifts(spark, 4), D1, D1)
+        got = spark.read.schema(schemas.FORECAST).parquet(path)
+        want = [(T1, 5, 1.0), (T1, 6, 1.0), (at(4), 5, 3.0)]
+        assert rows_of(got, "ds", "department_id", "yhat") == want
+
+
+# Reading
+
+
+def test_csv_forms(spark, tmp_path):
+    path = tmp_path / "sales.csv"
+    path.write_text(
+        "ds,location_id,sales_type_id,department_id,y\n"
+        "2024-01-01 00:15,1,10,102.0,1\n2024-01-01T00:30:00,1,10,,2.5\n"
+        "2024-01-01 00:45:00.250000,1,10.0,5,\n"
+    )
+    got = [tuple(r) for r in readers.read_sales(spark, str(path)).collect()]
+    day = dt.datetime(2024, 1, 1)
+    assert sorted(got, key=lambda r: r[0]) == [
+        (day.replace(minute=15), 1, 10, 102, 1.0),
+        (day.replace(minute=30), 1, 10, None, 2.5),
+        (day.replace(minute=45, microsecond=250000), 1, 10, 5, None),
+    ]
+    holiday = tmp_path / "holidays.csv"
+    names = [f.name for f in schemas.HOLIDAY]
+    values = {"corporation_id": "1.0", "holiday": "x", "lower_window": "0.0", "upper_window": "1.0"}
+    row = ",".join(values.get(n, "2024-01-01") for n in names)
+    holiday.write_text(",".join(names) + "\n" + row + "\n")
+    read = readers.read_holidays(spark, str(holiday)).first()
+    assert (read.corporation_id, read.lower_window, read.upper_window) == (1, 0, 1)
+
+
+@pytest.mark.parametrize("row", ["x,1,10,5,1", "2024-01-01 00:00,1.5,10,5,1", "2024-01-01,1,1,1,a"])
+def test_a_bad_field_fails_the_read(spark, tmp_path, row):
+    path = tmp_path / "sales.csv"
+    path.write_text("ds,location_id,sales_type_id,department_id,y\n" + row + "\n")
+    with pytest.raises(Exception, match="can't be read"):
+        readers.read_sales(spark, str(path)).collect()
+
+
 # Publishing
 
 
@@ -289,8 +349,7 @@ def test_zero_denominators(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 1001, 5000])
-@pytest.mark.parametrize("limit", [3, 50])
-def test_narrowed_median_is_exact(spark, n, limit):
+def test_median_of_far_clusters_and_ties(spark, n):
     rng = np.random.default_rng(n)
     heavy = np.exp(rng.normal(0, 8, n))
     # Two far clusters: with an even count the middle values lie in different ones.
@@ -301,18 +360,28 @@ def test_narrowed_median_is_exact(spark, n, limit):
         for i, (a, b, c) in enumerate(zip(heavy, far, ties))
     ]
     df = spark.createDataFrame(rows, "a double, b double, c double")
-    got = {r.column: r.median for r in narrowed_medians(df, ["a", "b", "c"], limit).collect()}
+    got = {r.column: r.median for r in medians_by_column(df, ["a", "b", "c"], 7).collect()}
     known = [c for _, _, c in rows if c is not None]
     assert got["a"] == pytest.approx(np.median(heavy))
     assert got["b"] == pytest.approx(np.median(far))
     assert got.get("c") == (pytest.approx(np.median(known)) if known else None)
 
 
-def test_column_medians_paths_agree(spark):
-    df = spark.range(1001).selectExpr("cast(id AS double) AS a", "cast(id * id AS double) AS b")
-    small = column_medians(df, ["a", "b"]).first()
-    large = column_medians(df, ["a", "b"], in_memory_rows=10).first()
-    assert tuple(small) == tuple(large) == (500.0, 250000.0)
+@pytest.mark.parametrize("cells", [2, 5, 256])
+def test_medians_are_exact(spark, cells):
+    nan, inf = float("nan"), float("inf")
+    columns = {
+        "a": [float(i) for i in range(1001)],
+        "b": [float(i * i) for i in range(1000)] + [None],
+        "c": [1.0, nan, inf, -inf, 2.0] * 200 + [nan],
+        "d": [nan] * 700 + [0.0] * 301,
+        "e": [None] * 1001,
+        "f": [7.0] * 1000 + [8.0],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    got = {r["column"]: r["median"] for r in medians_by_column(df, list(columns), cells).collect()}
+    want = df.selectExpr(*[f"median({c}) AS {c}" for c in columns]).first().asDict()
+    assert {c: repr(v) for c, v in got.items()} == {c: repr(v) for c, v in want.items()}
 
 
 # Hierarchy, sources and storage
