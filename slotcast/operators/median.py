@@ -18,7 +18,9 @@ def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     NaN counts as larger than any other value.
     """
     medians = medians_by_column(df, columns)
-    return medians.groupBy().pivot("column", columns).agg(F.first("median"))
+    return medians.agg(
+        *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns]
+    )
 
 
 def medians_by_column(df: DataFrame, columns: list[str], cells: int = CELLS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotcast import schemas
 from slotcast.operators import blend, clean, evaluate, gapfill, hierarchy, overwrite, publish
 from slotcast.operators import holidays as hol
-from slotcast.operators.median import medians_by_column
+from slotcast.operators.median import column_medians, medians_by_column
 from slotcast.plans.panel import load_csv_tables
 from slotcast.schemas import KEYS
 from slotcast.sources import readers, storage, writers
@@ -381,7 +381,9 @@ def test_medians_are_exact(spark, cells):
     df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
     got = {r["column"]: r["median"] for r in medians_by_column(df, list(columns), cells).collect()}
     want = df.selectExpr(*[f"median({c}) AS {c}" for c in columns]).first().asDict()
-    assert {c: repr(v) for c, v in got.items()} == {c: repr(v) for c, v in want.items()}
+    assert {c: repr(got.get(c)) for c in columns} == {c: repr(v) for c, v in want.items()}
+    nothing = column_medians(df, ["e"]).collect()
+    assert [tuple(r) for r in nothing] == [(None,)]
 
 
 # Hierarchy, sources and storage
