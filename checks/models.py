@@ -11,7 +11,7 @@ from checks.sql import K
 from checks.sql import r as sql_r
 from checks.tables import _FUTURE, _JOINED, _PROFILE_SQL, _WX, LIMITS, payload_sql
 from slotcast.functions.calendar import moment, with_calendar
-from slotcast.operators import audit, blend, boosted, evaluate, features, gapfill, publish
+from slotcast.operators import audit, blend, evaluate, features, gapfill, publish
 from slotcast.operators import profile as prof
 from slotcast.operators import weather as wx
 from slotcast.operators import windows as win
@@ -22,8 +22,6 @@ from slotcast.plans.panel import Tables
 from slotcast.schemas import KEYS, WEATHER_VALUES
 
 D10, D12 = dt.date(2024, 1, 10), dt.date(2024, 1, 12)
-# Few rounds keep the check short; the work per round still grows with the panel.
-CHECK_TREES = boosted.TreeParams(max_iter=3, max_depth=3)
 
 
 def tables(d) -> Tables:
@@ -102,7 +100,7 @@ def _(d):
 
 @check("m2_boosted_trees")
 def _(d):
-    return evaluation.tree_predictions(dense_tables(d), check_limits, CHECK_TREES)
+    return evaluation.tree_predictions(dense_tables(d), check_limits)
 
 
 @check("m3_ridge_with_weather")
@@ -349,7 +347,7 @@ def _(d):
 @check("e2_tree_comparison")
 def _(d):
     base = baseline_forecast(d.dense, d.labels)
-    trees = evaluation.tree_predictions(dense_tables(d), check_limits, CHECK_TREES)
+    trees = evaluation.tree_predictions(dense_tables(d), check_limits)
     return evaluation.compare(base, trees)
 
 
@@ -380,9 +378,7 @@ def _(d):
     return production.production_forecast(
         store(d),
         run_date=dt.date(2024, 1, 31),
-        horizon_days=2,
         min_rows=LIMITS["min_rows"],
         min_tree_rows=200,
-        params=CHECK_TREES,
         keep_warmup=True,
     )

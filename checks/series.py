@@ -293,7 +293,13 @@ def _(d):
     return audit.rows_per_location(d.panel).orderBy("location_id")
 
 
-@check("a24_column_types")
+@check(
+    "a24_column_types",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{kind}' AS type, count({c}) AS non_null FROM salesd"""
+        for c, kind in [("ds", "timestamp_ntz"), *[(k, "bigint") for k in KEYS], ("y", "double")]
+    ),
+)
 def _(d):
     return audit.column_types(d.sales_by_department)
 

@@ -4,9 +4,10 @@ Model: a trend with changepoints, plus yearly, weekly and daily Fourier terms an
 optional regressors scaled by the straight trend line, which makes them
 multiplicative, times a holiday factor. Ridge penalties act as normal priors.
 
-A series is never gathered in one task. Each month of a series is reduced to its
-Gram matrix; adding the months up gives the normal equations of the series, and
-only those, a few kilobytes per month, meet in the solving task.
+Each month of a series is reduced to its Gram matrix; adding the months up gives the
+normal equations of the series, and only those, a few kilobytes per month, meet in the
+solving task. No Python task holds a whole series; the scaling before it does use
+windows over one, at most 96 rows a day.
 """
 
 from collections.abc import Sequence
@@ -22,6 +23,7 @@ from slotcast.operators.gapfill import future_slots
 from slotcast.operators.holidays import with_holiday_label
 from slotcast.operators.windows import TRAIN_SHARE, with_enough_history, with_split
 from slotcast.schemas import KEYS, SLOTS_PER_DAY
+from slotcast.sources.storage import materialize
 
 # Fixed values of the model: Fourier order per period in days, changepoints over the
 # first part of the history, penalty scales and interval width.
@@ -223,7 +225,9 @@ def ridge_forecast(
     """Predictions with 95% interval for the held-out end of each long enough series."""
     names = list(regressors)
     split = with_split(panel if labels is None else with_holiday_label(panel, labels))
+    # Fitting and prediction both read it.
     prepared = prepare(with_enough_history(split, min_rows, min_train, min_test), names)
+    prepared = materialize(prepared, "prepared")
     return predict(prepared, fit(prepared, names), names)
 
 
@@ -247,7 +251,7 @@ def ridge_future(
     )
     if labels is not None:
         both = with_holiday_label(both, labels)
-    prepared = prepare(both, names)
+    prepared = materialize(prepare(both, names), "prepared")
     return predict(prepared, fit(prepared, names), names, with_history).drop("y")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotcast.operators import blend, boosted
 from slotcast.operators.baseline import baseline_forecast
-from slotcast.operators.clean import long_enough
+from slotcast.operators.clean import long_enough, without_warmup
 from slotcast.operators.evaluate import comparison_report, evaluate
 from slotcast.operators.features import evaluation_features, feature_matrix
 from slotcast.operators.holidays import holiday_labels
@@ -60,11 +60,17 @@ def tree_predictions(
     only. The prepared matrix is written once: training passes over it many times.
     Without a long enough series there is nothing to train and no prediction.
     """
-    panel = long_enough(panel_of(tables.sales), limits.min_tree_rows)
     matrix = feature_matrix(
-        with_split(panel), tables.location, tables.weather, tables.holiday, train_only="is_train"
+        with_split(panel_of(tables.sales)),
+        tables.location,
+        tables.weather,
+        tables.holiday,
+        train_only="is_train",
     )
-    rows, names = evaluation_features(matrix, keep_warmup)
+    # Series count as long enough by the rows left to train on. The matrix is written before
+    # its medians are taken.
+    matrix = long_enough(without_warmup(matrix, keep=keep_warmup), limits.min_tree_rows)
+    rows, names = evaluation_features(materialize(matrix, "matrix"), keep_warmup=True)
     rows = materialize(rows, "features")
     if rows.isEmpty():
         return rows.select("ds", *KEYS, "y", F.lit(None).cast("double").alias("yhat_b"))

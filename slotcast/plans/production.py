@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from slotcast.functions.calendar import moment, with_calendar
 from slotcast.operators import blend, boosted
 from slotcast.operators import weather as wx
-from slotcast.operators.clean import actuals_for_forecast, first_per_slot, long_enough, task_series
+from slotcast.operators.clean import (
+    actuals_for_forecast,
+    first_per_slot,
+    long_enough,
+    task_series,
+    without_warmup,
+)
 from slotcast.operators.features import future_features, production_features
 from slotcast.operators.hierarchy import forecast_grid, start_intervals
 from slotcast.operators.holidays import holiday_dates, holiday_labels, with_holiday_flag
@@ -79,9 +85,7 @@ def production_forecast(
         weathered, horizon_days, labels, WEATHER_VALUES, min_rows, with_history
     )
     baseline = materialize(baseline, "baseline")
-    trees = _tree_future(
-        store, long_enough(weathered, min_tree_rows), baseline, params, keep_warmup
-    )
+    trees = _tree_future(store, weathered, baseline, params, min_tree_rows, keep_warmup)
     final = blend.blend_or_baseline(baseline, trees, "yhat_b")
     return final.select("ds", *KEYS, F.col("yhat_final").alias("yhat"))
 
@@ -91,17 +95,20 @@ def _tree_future(
     history: DataFrame,
     baseline: DataFrame,
     params: boosted.TreeParams,
+    min_rows: int,
     keep_warmup: bool,
 ) -> DataFrame:
     dates = holiday_dates(store.holiday, store.location)
     matrix = with_holiday_flag(with_profile(with_history(with_calendar(history))), dates)
-    rows, names = production_features(matrix, keep_warmup)
+    matrix = long_enough(without_warmup(matrix, keep=keep_warmup), min_rows)
+    rows, names = production_features(materialize(matrix, "matrix"), keep_warmup=True)
     rows = materialize(rows, "features")
     if rows.isEmpty():
         return rows.select("ds", *KEYS, F.lit(None).cast("double").alias("yhat_b"))
     model = boosted.fit_trees(boosted.with_validation(rows), names, params)
-    known = history.select("ds", *KEYS, "y")
-    ahead = baseline.select("ds", *KEYS).join(known.select(*KEYS).distinct(), KEYS, "left_semi")
+    trained = rows.select(*KEYS).distinct()
+    known = history.select("ds", *KEYS, "y").join(trained, KEYS, "left_semi")
+    ahead = baseline.select("ds", *KEYS).join(trained, KEYS, "left_semi")
     future = future_features(ahead, known, store.location, store.holiday).fillna(0, names)
     predicted = boosted.predict_trees(model, future, names)
     return blend.post_process(predicted, "yhat_b", quiet_rule=False)
