@@ -1,11 +1,12 @@
 """Near-duplicate join on word n-grams: a size-aware heavy-light set similarity join."""
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from slotcast.llm import spans
@@ -129,6 +130,27 @@ def _hopeful(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return found.filter(F.col("shared") >= F.col("need")).select("sid")
 
 
+@contextmanager
+def _runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Let Spark test join keys with a Bloom filter of bounded size before texts are shuffled."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {
+        prefix + "enabled": "true",
+        prefix + "applicationSideScanSizeThreshold": "0",
+        prefix + "creationSideThreshold": "64g",
+        prefix + "expectedNumItems": "4000000",
+        prefix + "numBits": "67108864",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """``id``, ``sid``, ``n`` and the sorted ``tokens`` of the chosen documents' sets."""
 
@@ -214,7 +236,7 @@ def _keys(
             )
 
     kind = sets.schema["id"].dataType.simpleString()
-    rows = sets.join(alone, "sid", "left").select("id", "tokens", "lone")
+    rows = sets.join(alone, "ix", "left").select("id", "tokens", "lone")
     return rows.mapInArrow(run, f"key long, id {kind}, n long, pos long, odd long")
 
 
@@ -241,8 +263,14 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     kind = sets.schema["id"].dataType.simpleString()
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    pairs = materialize(pairs, "pairs")
+    ends = pairs.filter(F.col("a") < F.col("b")).select(F.explode(F.array("a", "b")).alias("id"))
+    ends = materialize(ends.distinct().withColumn("there", F.lit(1)), "ends")
+    with _runtime_filters(sets.sparkSession):
+        some = sets.select("id", "tokens").join(ends.filter(F.col("there") > 0), "id")
+        some = materialize(some.drop("there"), "compared-sets")
+    left = some.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
+    right = some.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return full.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -251,13 +279,12 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links that join the sets as all links between them would."""
     count = sets.count()
     often = max(50, count // 1000)
-    place = F.posexplode("tokens").alias("p", "token")
-    own = F.struct("sid", "p")
     seen = Observation()
+    # Where an element lies in one set only, the least set and place are its own.
     tokens = (
-        sets.select("sid", place)
+        sets.select("ix", F.posexplode("tokens").alias("p", "token"))
         .groupBy("token")
-        .agg(F.count("*").alias("df"), F.min(own).alias("own"))
+        .agg(F.count("*").alias("df"), F.min("ix").alias("ix"), F.min("p").alias("p"))
         .observe(
             seen,
             F.sum(F.when(F.col("df").between(2, often), F.col("df"))).alias("rows"),
@@ -266,9 +293,7 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
         .filter((F.col("df") == 1) | (F.col("df") > often))
     )
     tokens = materialize(tokens, "tokens")
-    alone = (
-        tokens.filter(F.col("df") == 1).groupBy("own.sid").agg(F.collect_list("own.p").alias("lone"))
-    )
+    alone = tokens.filter(F.col("df") == 1).groupBy("ix").agg(F.collect_list("p").alias("lone"))
     # At most 1000 times the mean size of a set, as each is in a thousandth of all sets.
     common = tokens.filter(F.col("df") > often).select("token", "df").collect()
     # Pairs of m + 2 elements cost (m + 2)(m + 1) / 2 rows; scanning the lists of m + 1 elements
@@ -342,8 +367,11 @@ def near_duplicates(
         rows.filter(F.col("n") > 0).groupBy(*by).agg(F.min("k").alias("id")), "classes"
     )
     hopeful = _hopeful(plain.filter(F.col("t").isNotNull()), words, percent)
-    chosen = classes.join(hopeful, "sid").select(F.col("id").alias("k"), "sid")
-    sets = materialize(_sets(plain, chosen.filter(F.col("k").isNotNull()), words), "sets")
+    chosen = classes.join(hopeful, "sid").select(F.col("id").alias("k"), "sid", "n")
+    chosen = materialize(chosen.filter(F.col("k").isNotNull()), "chosen")
+    with _runtime_filters(docs.sparkSession):
+        sets = _sets(plain, chosen.filter(F.col("n") > 1).select("k", "sid"), words)
+        sets = materialize(sets.withColumn("ix", F.monotonically_increasing_id()), "sets")
     doubled = sets.groupBy("id").count().filter(F.col("count") > 1)
     if not doubled.isEmpty():  # repeated rows
         sets = materialize(sets.dropDuplicates(["id"]), "sets")
