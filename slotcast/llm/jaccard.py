@@ -16,6 +16,9 @@ from slotcast.sources.storage import materialize
 #: Sets linked by the joins have at least this share of their union in common, in percent.
 SIMILARITY = 90
 WORDS = 3
+#: One in so many elements is given beyond those that a link may miss. More rows at first make
+#: the bound on shared elements stronger, and fewer sets pass it.
+_MORE = 8
 #: Largest size of sets whose subsets are enumerated, whatever the costs say.
 _MOST_LIGHT = 400
 
@@ -99,19 +102,19 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
 def _low_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The smallest hashes of every set that can link to another: ``token``, ``sid``, ``need``.
 
-    Every set gives as many as a link may miss, and a twentieth more. Where one of two
+    Every set gives as many as a link may miss, and an eighth more. Where one of two
     linked sets ends first, all but the missing ones lie in both, so at least ``need`` of
-    a set's hashes, a twentieth of its smallest partner, are given by another set too.
+    a set's hashes, an eighth of its smallest partner, are given by another set too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, bounds in _sliced(batches, 0, words):
             n = np.diff(bounds)
             miss = n - least_overlap(n, percent)
-            take = np.where(100 * n >= percent * (n + 1), np.minimum(n, miss + n // 20 + 2), 0)
+            take = np.where(100 * n >= percent * (n + 1), np.minimum(n, miss + n // _MORE + 2), 0)
             at = spans.gather(bounds[:-1], take)
             sid, _ = _digests(tokens, bounds)
-            need = np.repeat(least_overlap(n, percent) // 20 + 2, take).astype(np.int32)
+            need = np.repeat(least_overlap(n, percent) // _MORE + 2, take).astype(np.int32)
             columns = [_signed(tokens[at]), _signed(np.repeat(sid, take)), pa.array(need)]
             yield pa.RecordBatch.from_arrays(columns, names=["token", "sid", "need"])
 
