@@ -294,7 +294,8 @@ def fit(
     chosen = docs.filter(learn & F.col(text).isNotNull()).select(
         F.col(key).alias("k"), F.col(text).alias("text")
     )
-    words = materialize(_word_counts(chosen.join(known, "k")), "word-counts")
+    # Labels grow with the documents, so they are never broadcast, however few there are.
+    words = materialize(_word_counts(chosen.join(known.hint("merge"), "k")), "word-counts")
     grams = materialize(_grams(words), "grams")
     grams_ratio, contexts_ratio = _ratios(grams)
     tables = [
