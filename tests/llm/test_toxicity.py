@@ -82,7 +82,7 @@ def test_ratios_are_those_of_the_models(spark, tables):
     got, part = toxicity.word_ratios(words, model)
     for word, ratio, most in zip(words.strings(), got, part, strict=True):
         assert ratio == pytest.approx(direct(word), abs=1e-4)
-        assert most >= max(ratio, 0) - 1e-9
+        assert most >= max(ratio, 0) - 1e-4  # ratios are kept in single precision
 
 
 def test_scores(tables):
