@@ -1,14 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models of the letters in words."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slotcast.llm import letters, spans
 from slotcast.sources.storage import materialize
@@ -22,6 +24,9 @@ _ALPHABET = 100
 TELLING = 2
 #: Parts of words tell something from this ratio on.
 _LEAST = 2.0
+#: Bytes of text, and different n-grams and contexts, that share one look-up.
+_UNIT = 32 << 20
+_UNIT_ENTRIES = 1 << 20
 
 
 def fold(key: Column, folds: int = 5) -> Column:
@@ -30,20 +35,39 @@ def fold(key: Column, folds: int = 5) -> Column:
 
 
 @dataclass(frozen=True)
-class Model:
+class Entries:
     """Log ratios of toxic to ordinary likelihood of n-grams, and of their contexts' backoff.
 
-    Keys are sorted 64-bit hashes. ``weights`` and ``intercept`` turn a text's measures into
-    log odds; there are none if there is nothing to learn from.
+    Those that some texts need, by sorted 64-bit hashes.
     """
 
     grams: np.ndarray
     gram_ratio: np.ndarray
     contexts: np.ndarray
     context_ratio: np.ndarray
+
+
+@dataclass(frozen=True)
+class Model:
+    """All ratios of n-grams and contexts, as a table of ``far``, ``entry`` and ``ratio``.
+
+    ``entry`` is the hash of an n-gram, or of a context where ``far`` holds. The table grows
+    with the texts it was learned from and is only joined. ``weights`` and ``intercept`` turn
+    a text's measures into log odds; there are none if there is nothing to learn from.
+    """
+
+    ratios: DataFrame
     weights: tuple[float, ...] = ()
     intercept: float = 0.0
 
+    def entries(self, words: letters.Words) -> Entries:
+        """What the given words need of the table, on the driver."""
+        wanted = self.ratios.sparkSession.createDataFrame(
+            pa.table(dict(zip(("far", "entry"), _wanted(_needed(words)), strict=True)))
+        )
+        found = self.ratios.join(wanted, ["far", "entry"]).select("far", "entry", "ratio").toArrow()
+        return _entries(*[np.asarray(c.combine_chunks()) for c in found.columns])
+
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
     if not len(keys):
@@ -64,12 +88,36 @@ def _hashes(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return context, spans.mix(context ^ spans.mix(codes))
 
 
-def word_ratios(words: letters.Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _needed(words: letters.Words) -> list[np.ndarray]:
+    """Distinct hashes of the words' n-grams and of their contexts."""
+    codes, begin = letters.flat(words)
+    inner = np.ones(len(codes), bool)
+    inner[begin[:-1]] = False
+    context, gram = _hashes(codes, begin)
+    return [np.unique(gram[inner]), np.unique(context[inner])]
+
+
+def _wanted(needed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``far`` and ``entry`` of the hashes of n-grams and contexts."""
+    return np.repeat([False, True], [len(n) for n in needed]), np.concatenate(needed).view(np.int64)
+
+
+def _entries(far: np.ndarray, entry: np.ndarray, ratio: np.ndarray) -> Entries:
+    far, keys = far.astype(bool), entry.astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    own, context = order[~far[order]], order[far[order]]
+    return Entries(keys[own], ratio[own], keys[context], ratio[context])
+
+
+def word_ratios(
+    words: letters.Words, model: Model | Entries
+) -> tuple[np.ndarray, np.ndarray]:
     """Log of toxic to ordinary likelihood of each distinct word, and of its most telling part."""
+    entries = model.entries(words) if isinstance(model, Model) else model
     codes, begin = letters.flat(words)
     context, gram = _hashes(codes, begin)
-    ratio, seen = _look_up(model.grams, model.gram_ratio, gram)
-    backoff, _ = _look_up(model.contexts, model.context_ratio, context)
+    ratio, seen = _look_up(entries.grams, entries.gram_ratio, gram)
+    backoff, _ = _look_up(entries.contexts, entries.context_ratio, context)
     each = np.where(seen, ratio, backoff)
     each[begin[:-1]] = 0.0  # the mark at the begin isn't predicted
     if len(begin) < 2:
@@ -82,7 +130,7 @@ def word_ratios(words: letters.Words, model: Model) -> tuple[np.ndarray, np.ndar
     return np.add.reduceat(each, begin[:-1]), np.maximum.reduceat(rise, begin[:-1])
 
 
-def _measures(column: pa.Array, model: Model) -> np.ndarray:
+def _measures(column: pa.Array, entries: Entries) -> np.ndarray:
     """Four ratios of each text, a column each.
 
     Per word of its most telling words; per letter of the whole text; over the square
@@ -91,7 +139,7 @@ def _measures(column: pa.Array, model: Model) -> np.ndarray:
     """
     rows = len(column)
     words = letters.words(column)
-    each, parts = (x[words.which] for x in word_ratios(words, model))
+    each, parts = (x[words.which] for x in word_ratios(words, entries))
     size = (words.end - words.start)[words.which] + 1
     total = np.bincount(words.row, each, rows)
     count = np.maximum(np.bincount(words.row, size, rows), 1)
@@ -107,16 +155,16 @@ def _measures(column: pa.Array, model: Model) -> np.ndarray:
     return np.stack([peak, total / count, total / np.sqrt(count), telling], axis=1)
 
 
-def _all_measures(column: pa.Array, model: Model) -> np.ndarray:
+def _all_measures(column: pa.Array, entries: Entries) -> np.ndarray:
     _, offsets = spans.utf8(column)
-    parts = [_measures(column.slice(a, b - a), model) for a, b in spans.slices(offsets)]
+    parts = [_measures(column.slice(a, b - a), entries) for a, b in spans.slices(offsets)]
     return np.concatenate([np.zeros((0, 4)), *parts])
 
 
-def _probability(measures: np.ndarray, model: Model) -> np.ndarray:
-    if not model.weights:
+def _probability(measures: np.ndarray, weights: tuple[float, ...], intercept: float) -> np.ndarray:
+    if not weights:
         return np.zeros(len(measures))
-    odds = measures @ np.array(model.weights) + model.intercept
+    odds = measures @ np.array(weights) + intercept
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -240,32 +288,30 @@ def _ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         _shared(grams), _tail("g") == F.col("x")
     )
     ratio = F.log(chance(1) / chance(0))
-    own = joined.select("g", ratio.alias("ratio"), (F.abs(ratio) * (F.col("c0") + F.col("c1"))).alias("w"))
+    own = joined.select("g", ratio.alias("ratio"))
     ratio = F.log(backoff(1) / backoff(0))
-    far = contexts.select(
-        F.col("h").alias("g"), ratio.alias("ratio"), (F.abs(ratio) * (F.col("n0") + F.col("n1"))).alias("w")
-    )
-    return own, far
+    return own, contexts.select(F.col("h").alias("g"), ratio.alias("ratio"))
 
 
-def _heaviest(rows: DataFrame, most: int) -> list[tuple[str, float]]:
-    """The entries that change likelihoods most; the others are left to their backoff."""
-    rows = materialize(rows.filter(F.col("w") > 0), "ratios")
-    total = rows.count()
-    if total > most:
-        rows = rows.filter(F.col("w") > rows.approxQuantile("w", [1 - most / total], 1e-4)[0])
-    return [(r["g"], r["ratio"]) for r in rows.select("g", "ratio").toLocalIterator()]
+def _hashed(rows: DataFrame, far: bool) -> DataFrame:
+    """``far``, ``entry`` and ``ratio`` of n-grams, or of contexts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            texts = [g + "?" if far else g for g in batch.column(0).to_pylist()]
+            codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+            begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            context, gram = _hashes(codes, begin)
+            keys = (context if far else gram)[begin[1:] - 1]
+            columns = [np.full(len(keys), far), keys.view(np.int64)]
+            ratio = np.asarray(batch.column(1)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array(ratio)], names=["far", "entry", "ratio"]
+            )
 
-def _table(entries: list[tuple[str, float]], with_last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of n-grams or contexts, and their ratios."""
-    texts = [g if with_last else g + "?" for g, _ in entries]
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
-    begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    context, gram = _hashes(codes, begin)
-    keys = (gram if with_last else context)[begin[1:] - 1]
-    order = np.argsort(keys)
-    return keys[order], np.array([r for _, r in entries], np.float32)[order]
+    return rows.select("g", "ratio").mapInArrow(run, "far boolean, entry long, ratio float")
 
 
 def fit(
@@ -276,14 +322,12 @@ def fit(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    most_entries: int = 1 << 20,
 ) -> Model:
     """Learn n-grams from labelled texts where ``learn`` holds; weigh the measures by those of ``tune``.
 
     Every n-gram of every text that may be learned from is counted. Both classes discount
     their counts and back off to one distribution, made of the counts of both, so a rare
-    expression says little about a class. Of the ratios, the ``most_entries`` that change
-    likelihoods most go to the tasks, which bounds what is broadcast.
+    expression says little about a class. All ratios stay in a table.
     """
     known = (
         labels.filter(F.col(label).isNotNull())
@@ -297,12 +341,8 @@ def fit(
     # Labels grow with the documents, so they are never broadcast, however few there are.
     words = materialize(_word_counts(chosen.join(known.hint("merge"), "k")), "word-counts")
     grams = materialize(_grams(words), "grams")
-    grams_ratio, contexts_ratio = _ratios(grams)
-    tables = [
-        _table(_heaviest(rows, most_entries), last)
-        for rows, last in ((grams_ratio, True), (contexts_ratio, False))
-    ]
-    model = Model(*tables[0], *tables[1])
+    own, far = _ratios(grams)
+    model = Model(materialize(_hashed(own, False).unionByName(_hashed(far, True)), "ratios"))
     rows = _measured(docs.filter(tune & F.col(text).isNotNull()), key, text, model).join(known, "k")
     rows = materialize(
         rows.select(array_to_vector("measures").alias("features"), F.col("toxic").cast("double")),
@@ -314,17 +354,107 @@ def fit(
     return replace(model, weights=tuple(fitted.coefficients), intercept=fitted.intercept)
 
 
-def _measured(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _in_units(docs: DataFrame, text: str) -> DataFrame:
+    """``rows``, compressed Arrow batches, of each ``unit``, and the ``far`` and ``entry`` it needs.
+
+    A unit is some texts of one task: about ``_UNIT`` bytes, or fewer with ``_UNIT_ENTRIES``
+    entries, or one longer text.
+    """
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, size = TaskContext.get().partitionId() << 32, 0
+        needed = [np.zeros(0, np.uint64)] * 2
+
+        def out(columns: list[pa.Array]) -> pa.RecordBatch:
+            own = pa.array(np.full(len(columns[0]), unit, np.int64))
+            return pa.RecordBatch.from_arrays([own, *columns], names=["unit", "far", "entry", "rows"])
+
+        def packed(part: pa.RecordBatch) -> pa.RecordBatch:
+            sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression="zstd")
+            with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                writer.write_batch(part)
+            rows = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            return out([pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), rows])
+
+        def entries() -> pa.RecordBatch:
+            far, entry = map(pa.array, _wanted(needed))
+            return out([far, entry, pa.nulls(len(far), pa.binary())])
+
+        for batch in batches:
+            _, offsets = spans.utf8(batch.column(at))
+            for low, high in spans.slices(offsets):
+                part = batch.slice(low, high - low)
+                yield packed(part)
+                new = _needed(letters.words(part.column(at)))
+                needed = [np.union1d(a, b) for a, b in zip(needed, new, strict=True)]
+                size += int(offsets[high] - offsets[low]) + 8 * len(part)
+                if size >= _UNIT or sum(map(len, needed)) >= _UNIT_ENTRIES:
+                    yield entries()
+                    unit, size, needed = unit + 1, 0, [np.zeros(0, np.uint64)] * 2
+        if size:
+            yield entries()
+
+    return docs.mapInArrow(run, "unit long, far boolean, entry long, rows binary")
+
+
+def _with_measures(
+    docs: DataFrame,
+    text: str,
+    model: Model,
+    result: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch],
+    schema: str | StructType,
+) -> DataFrame:
+    """``result`` of rows and the measures of their texts.
+
+    Rows go to the task that gets the ratios their unit needs. An n-gram is asked for once a
+    unit, so common ones are as rare in the join as others.
+    """
+    units = materialize(_in_units(docs, text), "units")
+    at = docs.columns.index(text)
+    wanted = units.filter(F.col("entry").isNotNull()).select("unit", "far", "entry")
+    # The table grows with the documents, so it is never broadcast, however small it is.
+    found = wanted.join(model.ratios.hint("merge"), ["far", "entry"]).select(
+        "unit", F.lit(0).alias("kind"), "far", "entry", "ratio", F.lit(None).cast("binary").alias("rows")
+    )
+    rows = units.filter(F.col("rows").isNotNull()).select(
+        "unit", F.lit(1).alias("kind"), "far", "entry", F.lit(None).cast("float").alias("ratio"), "rows"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, parts, entries = None, [], None
         for batch in batches:
-            measures = _all_measures(batch.column(1), shared.value)
-            lists = pa.array(list(measures), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["k", "measures"])
+            units, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            change = np.flatnonzero((np.diff(units) != 0) | (np.diff(kinds) != 0)) + 1
+            edges = [0, *change.tolist(), len(batch)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if units[a] != unit:
+                    unit, parts, entries = units[a], [], None
+                if kinds[a] == 0:
+                    parts.append([np.asarray(part.column(i)) for i in (2, 3, 4)])
+                    continue
+                if entries is None:
+                    none = [np.zeros(0, t) for t in (bool, np.int64, np.float32)]
+                    entries = _entries(*map(np.concatenate, zip(none, *parts, strict=True)))
+                for packed in part.column(5):
+                    with pa.ipc.open_stream(packed.as_buffer()) as reader:
+                        for own in reader:
+                            yield result(own, _all_measures(own.column(at), entries))
+
+    dealt = found.unionByName(rows).repartition("unit").sortWithinPartitions("unit", "kind")
+    return dealt.mapInArrow(run, schema)
+
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"k {kind}, measures array<double>")
+def _measured(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
+    def result(rows: pa.RecordBatch, measures: np.ndarray) -> pa.RecordBatch:
+        lists = pa.array(list(measures), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([rows.column(0), lists], names=["k", "measures"])
+
+    schema = f"k {docs.schema[key].dataType.simpleString()}, measures array<double>"
+    return _with_measures(docs.select(key, text), text, model, result, schema)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,37 +464,33 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     the two log-likelihoods per letter over the whole text.
     Null and empty texts, having no words, score like a text without telling words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            measures = _all_measures(batch.column(1), shared.value)
-            scores = _probability(measures, shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(scores),
-                    pa.array((scores >= 0.5).astype(np.int32)),
-                    pa.array(measures[:, 1]),
-                ],
-                names=["k", "score", "predicted", "ratio"],
-            )
+    weights, intercept = model.weights, model.intercept
+
+    def result(rows: pa.RecordBatch, measures: np.ndarray) -> pa.RecordBatch:
+        scores = _probability(measures, weights, intercept)
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column(0),
+                pa.array(scores),
+                pa.array((scores >= 0.5).astype(np.int32)),
+                pa.array(measures[:, 1]),
+            ],
+            names=["k", "score", "predicted", "ratio"],
+        )
 
     schema = f"k {docs.schema[key].dataType.simpleString()}, score double, predicted int, ratio double"
-    return docs.select(key, text).mapInArrow(run, schema).withColumnRenamed("k", key)
+    found = _with_measures(docs.select(key, text), text, model, result, schema)
+    return found.withColumnRenamed("k", key)
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+    weights, intercept = model.weights, model.intercept
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            measures = _all_measures(batch.column(at), shared.value)
-            yield batch.filter(pa.array(_probability(measures, shared.value) < 0.5))
+    def result(rows: pa.RecordBatch, measures: np.ndarray) -> pa.RecordBatch:
+        return rows.filter(pa.array(_probability(measures, weights, intercept) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _with_measures(docs, text, model, result, docs.schema)
 
 
 def judge(

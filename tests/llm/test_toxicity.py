@@ -112,6 +112,26 @@ def test_nothing_to_learn_from(spark, tables):
     assert toxicity.judge(docs.limit(0), labels).collect() == []
 
 
+def test_no_ratio_is_left_out(spark):
+    """More than 2^20 n-grams, most of them seen once."""
+    rng = np.random.default_rng(3)
+    alphabet = np.array([chr(i) for i in range(0x3B1, 0x3C2)] + [chr(i) for i in range(0x430, 0x450)])
+    words = sorted({"".join(w) for w in alphabet[rng.integers(0, len(alphabet), (130_000, 10))]})
+    rows = [(i, " ".join(words[i::1000]), int(i % 4 == 0)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"), F.lit(True), F.lit(False))
+    assert model.ratios.filter("not far").count() > 1 << 20
+    counts = {w: [int(i % 1000 % 4 != 0), int(i % 1000 % 4 == 0)] for i, w in enumerate(words)}
+    direct, some = _direct(counts), letters.words(pa.array([" ".join(words[::500])]))
+    got, _ = toxicity.word_ratios(some, model)
+    for word, ratio in zip(some.strings(), got, strict=True):
+        assert ratio == pytest.approx(direct(word), abs=1e-3)
+    # Scoring looks the same ratios up by joins.
+    for r in toxicity.score(docs.filter("doc_id < 3"), model).collect():
+        own = [direct(w) for w in words[r.doc_id :: 1000]]
+        assert r.ratio == pytest.approx(sum(own) / (11 * len(own)), abs=1e-4)
+
+
 def test_hashes_end_at_the_word():
     words = letters.words(pa.array(["ab xab"]))
     codes, begin = letters.flat(words)
