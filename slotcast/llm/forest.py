@@ -227,7 +227,8 @@ def search(
     query descends to the vectors that share most of its string; then all trees ascend together,
     giving up one bit at a time, until they offer enough candidates. How many are enough is
     tuned on a bounded sample of queries with known neighbours so that the share ``aim`` of these
-    would be found. All candidates are compared by their exact distance.
+    would be found, and at least so many that ``k`` others are among them unless the table has
+    fewer. All candidates are compared by their exact distance.
 
     Each tree's sorted array is cut into slices of about ``slice_rows`` vectors; a
     query goes to the slices its run of the array lies in, and passes by them as a stream. Equal
@@ -263,7 +264,8 @@ def search(
         found = classes.sparkSession.createDataFrame([], "qid long, cid long, score double")
     else:
         forest = _build(classes, trees, bits, seed)
-        wanted = _tuned(forest, classes, queries, k, aim)
+        # A vector counts once a tree, so that many are at least k + 1 different ones.
+        wanted = max(_tuned(forest, classes, queries, k, aim), trees * (k + 1))
         found = _best(_candidates(forest, classes, queries, wanted, k + 1, slice_rows), k + 1)
     every = found.join(classes.select("cid", "ids"), "cid").select(
         "qid", "score", F.explode("ids").alias("vec")

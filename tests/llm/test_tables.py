@@ -171,6 +171,20 @@ def test_neighbours(spark):
             assert score == pytest.approx(np.sqrt(((known[q] - known[i]) ** 2).sum()), abs=1e-12)
 
 
+def test_outliers_of_dense_clusters_have_neighbours(spark):
+    """Tuning sees clusters, whose neighbours share all bits; others must ascend further."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 8))
+    rows = [
+        (i, (centres[i % 20] + 1e-4 * rng.standard_normal(8)).tolist(), "x", 1) for i in range(2000)
+    ]
+    rows += [(17 * (200 + i), (5 * rng.standard_normal(8)).tolist(), "x", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, VECTORS)
+    found = forest.search(docs, F.col("vec_id") % 17 == 0).collect()
+    want = {i: 10 for i, *_ in rows if i % 17 == 0}
+    assert Counter(r.query_id for r in found) == Counter(want)
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (100, [1.0, 0.5])]
     docs = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], VECTORS)
