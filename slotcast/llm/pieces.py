@@ -50,6 +50,12 @@ class PieceTable:
                 self.score[piece], self.id[piece] = lib.get_score(i), i
         self.bytes_of = {i: p.replace(_MARK, " ").encode() for p, i in self.id.items()}
         self.bytes_of |= {i: bytes([b]) for b, i in self.byte.items()}
+        # What every id decodes to, one after another; control ids to nothing.
+        surface = [self.bytes_of.get(i, b"") for i in range(len(self.pieces))]
+        surface[lib.unk_id()] = " \u2047 ".encode()
+        self.surface = np.frombuffer(b"".join(surface), np.uint8)
+        self.surface_size = np.array([len(x) for x in surface], np.int64)
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id.items():
             if self.merged(piece) == [i]:
@@ -184,6 +190,15 @@ class PieceTable:
         return row, start[which], length[which]
 
 
+    def decode(self, ids: np.ndarray, stops: np.ndarray) -> list[bytes]:
+        """The texts of ids, without the space in front; text ``i`` ends before ``stops[i]``."""
+        size = self.surface_size[ids]
+        data = self.surface[spans.gather(self.surface_at[ids], size)].tobytes()
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ends = upto[stops].tolist()
+        return [data[a:b].removeprefix(b" ") for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def with_prefix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A space in front of every text that isn't empty, as the model adds one."""
     raw = data.tobytes()
@@ -222,7 +237,7 @@ def encode_and_decode(
                 [
                     keys,
                     pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-                    pa.array([r[1].decode() for r in rows], pa.string()),
+                    pa.array([r[1].decode(errors="replace") for r in rows], pa.string()),
                 ],
                 names=["k", "ids", "decoded"],
             )
@@ -267,12 +282,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str):
             row, start, length = own.locate(data, offsets)
             ids = own.runs.pool[spans.gather(start, length)].astype("<u4")
             sizes = np.bincount(row, length, high - low).astype(np.int64)
-            stops = np.cumsum(sizes).tolist()
-            raw = data.tobytes()
-            rows = []
-            edges = zip(offsets[:-1].tolist(), offsets[1:].tolist(), stops, sizes, strict=True)
-            for a, b, stop, n in edges:
-                # The chunks' ids were seen to give their bytes back, so the text is theirs.
-                full = np.concatenate([[own.begin], ids[stop - n : stop], [own.end]])
-                rows.append((full.astype("<u4"), raw[a + 1 : b]))
+            stops = np.cumsum(sizes)
+            full = [
+                np.concatenate([[own.begin], ids[b - n : b], [own.end]]).astype("<u4")
+                for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)
+            ]
+            # The very ids that are returned, with two more a text.
+            texts = own.decode(np.concatenate(full), stops + 2 * np.arange(1, len(full) + 1))
+            rows = list(zip(full, texts, strict=True))
             yield batch.column(0).slice(low, high - low), rows

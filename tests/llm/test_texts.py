@@ -100,6 +100,25 @@ def test_piece_digests(docs, nothing, model):
     assert pieces.digests(nothing).collect() == []
 
 
+def test_texts_are_decoded_from_the_ids(model, monkeypatch):
+    """A lost run of ids shows in the decoded text."""
+    texts = ["one two three", None, "", "  x \U0001f642 é\n", " ▁ a"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+
+    def check():
+        for _, rows in pieces._encoded(iter([batch]), pieces.MODEL):
+            assert [t.decode() for _, t in rows] == [model.decode(ids.tolist()) for ids, _ in rows]
+            yield from rows
+
+    assert next(check())[1] == b"one two three"
+    assert len(list(check())) == len(texts)
+    locate = pieces.PieceTable.locate
+    monkeypatch.setattr(
+        pieces.PieceTable, "locate", lambda *a: tuple(x[1:] for x in locate(*a))
+    )
+    assert next(check())[1] != b"one two three"
+
+
 def test_run_table_starts_anew_when_full():
     table = spans.RunTable(most=4)
     for base in (0, 10):
