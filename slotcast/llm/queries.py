@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotcast.llm import (
     forest,
+    hard_negatives,
     host_trust,
     jaccard,
     language,
@@ -95,3 +96,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_sentencepiece")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(_table(spark, folder, "documents"))
+
+
+@_query("op11_hard_negatives", sql.HARD_NEGATIVES)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
