@@ -1,5 +1,6 @@
 """Queries of this folder's operators, each over its whole table."""
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from slotcast.llm import (
     host_trust,
     jaccard,
     language,
+    merkle,
     packing,
     pieces,
     quality,
@@ -103,3 +105,24 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@_query("op13_merkle_manifest", sql.MERKLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    upper = string.ascii_uppercase
+    lowered = F.translate("text", upper, upper.lower())
+    changed = merkle.leaf(*[lowered if c == "text" else F.col(c) for c in columns])
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = merkle.manifest(docs, columns, carry={"tampered": F.when(hit, changed)})
+    root = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    proof = merkle.proof_digest(F.col("proof"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof.alias("proof_sha256"),
+        root.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

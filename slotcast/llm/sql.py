@@ -132,3 +132,75 @@ FROM positives JOIN scores USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 WINDOW own AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
 QUALIFY row_number() OVER own <= 5"""
+
+
+def _tree(prefix: str, group: str, levels: int) -> str:
+    """Levels of one tree per group over ``{prefix}0 (grp, pos, h)``: nodes and run siblings."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{prefix}{k}s AS (
+  SELECT *, count(*) OVER (PARTITION BY {group}) AS n,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {prefix}{k} WINDOW run AS (PARTITION BY {group}, pos // 16 ORDER BY pos)),
+{prefix}{k + 1} AS (
+  SELECT {group}, pos // 16 AS pos,
+    CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h
+  FROM {prefix}{k}s GROUP BY {group}, pos // 16),""")
+    return "".join(out)
+
+
+def _step(previous: str, name: str, nodes: str, group: str, k: int) -> str:
+    """Fold the leaves of ``previous`` through level ``k`` of a tree."""
+    return f"""
+{name} AS (
+  SELECT f.* EXCLUDE (s, fold, place), place // 16 AS place,
+    s || CASE WHEN n > 1 THEN l || r ELSE '' END AS s,
+    CASE WHEN n > 1 THEN sha256(l || fold || r) ELSE fold END AS fold
+  FROM {previous} f JOIN {nodes}{k}s t ON f.place = t.pos AND f.{group} = t.{group}),"""
+
+
+def _merkle(levels: int = 5, tops: int = 3) -> str:
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    own = " || ".join(field(f) for f in fields)
+    changed = " || ".join(field(lowered if f == "text" else f) for f in fields)
+    # Eight shifts after each byte; the polynomial is that of the usual reflected CRC-32.
+    step = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END"
+    flat = (
+        "flatten(list_transform(string_split(doc_id::VARCHAR, ''), "
+        "lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    )
+    crc = f"xor(list_reduce(list_concat([4294967295], {flat}), lambda c, x: {step}), 4294967295)"
+    folds, previous = "", "f"
+    for k in range(levels):
+        folds += _step(previous, f"f{k}", "a", "g", k)
+        previous = f"f{k}"
+    folds += f"""
+j AS (SELECT * EXCLUDE (place), g AS place, 0 AS one FROM {previous}),"""
+    previous = "j"
+    for k in range(tops):
+        folds += _step(previous, f"j{k}", "b", "one", k)
+        previous = f"j{k}"
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, sha256({own}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({changed}) END AS tampered
+  FROM documents),
+e AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+a0 AS (SELECT g, place AS pos, leaf AS h FROM e),{_tree("a", "g", levels)}
+b0 AS (SELECT 0 AS one, g AS pos, h FROM a{levels}),{_tree("b", "one", tops)}
+f AS (SELECT *, '' AS s, coalesce(tampered, leaf) AS fold FROM e),{folds}
+whole AS (SELECT h AS root FROM b{tops})
+SELECT doc_id, leaf, h AS subroot, root, sha256(s) AS proof_sha256, fold AS folded_root,
+  fold = root AS verified
+FROM {previous} f JOIN b0 ON f.g = b0.pos CROSS JOIN whole"""
+
+
+MERKLE = _merkle()
