@@ -16,6 +16,7 @@ from slotcast.llm import (
     packing,
     pieces,
     quality,
+    simhash,
     sql,
     token_counts,
     toxicity,
@@ -107,6 +108,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+@_query("op12_simhash_near_dedup")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 @_query("op13_merkle_manifest", sql.MERKLE)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
