@@ -149,27 +149,30 @@ def _groups(together: np.ndarray, parts: int) -> list[tuple[int, ...]]:
 def _costs(sample: np.ndarray, bits: tuple[int, ...], most: int, count: int) -> list[float]:
     """Estimated rows for thresholds -1, 0, ... ``most`` of a part: probes and candidates.
 
-    The share of sampled pairs within a threshold, but at least what independent bits
-    would give, times all pairs.
+    A fingerprint's candidates are the share of the sample within the threshold, but at least what
+    independent bits would give, of all fingerprints. It costs its half of the pairs, or its
+    neighbouring words where these are fewer.
     """
     mask = np.uint64(sum(1 << b for b in bits))
     own = sample & mask
-    near = np.zeros(most + 1)
+    near = np.zeros((most + 1, len(own)))
     for i in range(0, len(own), 256):
         apart = np.bitwise_count(own[i : i + 256, None] ^ own[None, :])
-        near += [np.count_nonzero(apart <= t) for t in range(most + 1)]
-    near = (near - len(own)) / max(len(own) * (len(own) - 1), 1)
+        for t in range(most + 1):
+            near[t, i : i + 256] = np.count_nonzero(apart <= t, axis=1) - 1
+    near /= max(len(own) - 1, 1)
     p = _bits(sample).mean(axis=0)[list(bits)] if len(sample) else np.zeros(len(bits))
     # Chances that so many bits differ, for one bit after another.
     chance = np.zeros(most + 1)
     chance[0] = 1
     for q in 2 * p * (1 - p):
         chance = chance * (1 - q) + np.concatenate([[0], chance[:-1]]) * q
-    share = np.maximum(near, np.cumsum(chance))
+    share = np.maximum(near, np.cumsum(chance)[:, None])
+    pairs = np.minimum(count * share / 2, BITS + 1).mean(axis=1) if len(own) else np.zeros(most + 1)
     out, probes = [0.0], 0
     for t in range(most + 1):
         probes += len(list(combinations(bits, t)))
-        out.append(count * probes + count * count * share[t] / 2)
+        out.append(count * (probes + float(pairs[t])))
     return out
 
 
