@@ -87,7 +87,9 @@ class ByteBpe:
         """For each chunk its row and its run of ids in ``runs.pool``."""
         begin, end, row = self.chunks(data, offsets)
         keys, where, which = np.unique(
-            spans.span_hashes(data, begin, end), return_index=True, return_inverse=True
+            spans.span_hashes(data, begin, end, spans.PRIVATE),
+            return_index=True,
+            return_inverse=True,
         )
         new = self.runs.missing(keys)
         if len(new):

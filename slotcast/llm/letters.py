@@ -38,7 +38,7 @@ def words(column: pa.Array) -> Words:
     """Maximal runs of letters, in lower case. Null texts have none."""
     texts = [t.lower() if t else "" for t in column.to_pylist()]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
     inside = _is_letter()[codes]
     edge = np.zeros(len(codes) + 1, bool)
     edge[offsets] = True
@@ -50,7 +50,7 @@ def words(column: pa.Array) -> Words:
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     row = np.searchsorted(offsets, starts, "right") - 1
     _, where, which = np.unique(
-        spans.span_hashes(codes, starts, ends), return_index=True, return_inverse=True
+        spans.span_hashes(codes, starts, ends, spans.PRIVATE), return_index=True, return_inverse=True
     )
     return Words(codes, row, which, starts[where], ends[where])
 

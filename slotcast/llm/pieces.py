@@ -142,10 +142,9 @@ class PieceTable:
     def _run(self, n: int) -> list[int]:
         """Spaces alone. All merges score the same, so the leftmost goes first."""
         most = max(len(p) for p in self.id if not p.strip(_MARK))
-        if n <= 4 * most:
-            return self.merged(_MARK * n)
         # A full run of the longest piece at the left takes part in no further merge.
-        return [self.id[_MARK * most]] + self._run(n - most)
+        full = max(-(-n // most) - 4, 0)
+        return [self.id[_MARK * most]] * full + self.merged(_MARK * (n - full * most))
 
     def _with_bytes(self, ids: list[int], chunk: str) -> list[int]:
         if _UNKNOWN not in ids:
@@ -172,7 +171,9 @@ class PieceTable:
         """For each chunk its row and its run of ids; checks that ids give the chunk back."""
         begin, end, row = self.chunks(data, offsets)
         keys, where, which = np.unique(
-            spans.span_hashes(data, begin, end), return_index=True, return_inverse=True
+            spans.span_hashes(data, begin, end, spans.PRIVATE),
+            return_index=True,
+            return_inverse=True,
         )
         new = self.runs.missing(keys)
         if len(new):

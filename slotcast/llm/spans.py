@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Texts are handled in slices of about this many bytes, which bounds memory.
 SLICE_BYTES = 2 << 20
@@ -17,10 +18,19 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_CODES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
-_CODES += np.uint64(1)
+#: Bytes of a span that are looked up in tables; longer spans go to a hash function.
+_DEEP = 64
+
+
+def _random_tables(seed: int | None) -> np.ndarray:
+    """A random 64-bit number for every byte at every place of a span."""
+    return np.random.default_rng(seed).integers(0, 1 << 64, _DEEP << 8, dtype=np.uint64)
+
+
+#: The same in every process, for hashes that meet in shuffles.
+_SHARED = _random_tables(20240101)
+#: Of this process alone, for hashes that don't leave it; no text can be made to collide in them.
+PRIVATE = _random_tables(None)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,40 +77,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(size, base & _MASK, np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
-
-
 def span_hashes(
-    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20
+    data: np.ndarray,
+    starts: np.ndarray,
+    ends: np.ndarray,
+    tables: np.ndarray = _SHARED,
+    block: int = 1 << 19,
 ) -> np.ndarray:
-    """A 64-bit hash of each span of bytes or code points; spans are in order, side by side."""
+    """A 64-bit hash of each span of bytes or code points; spans are in order, side by side.
+
+    Tabulation hashing: the sum of a random number for each byte at its place. Any two
+    spans of up to ``_DEEP`` bytes collide with a chance of 2^-64 over the tables, whatever
+    regularity they have. Longer spans are hashed by XXH3, keyed by the tables.
+    """
+    if data.dtype != np.uint8:
+        wide = np.ascontiguousarray(data, "<u4")
+        return span_hashes(wide.view(np.uint8), 4 * starts, 4 * ends, tables, block)
     out = np.empty(len(starts), np.uint64)
+    key = int(tables[0])
     first = 0
     while first < len(starts):
-        low = int(starts[first])
-        last = max(int(np.searchsorted(ends, low + block, "right")), first + 1)
-        high = int(ends[last - 1])
-        power, inverse = _power_tables(high - low)
-        sums = np.zeros(high - low + 1, np.uint64)
-        part = data[low:high]
-        codes = _CODES[part] if part.dtype == np.uint8 else mix(part + np.uint64(1)) | np.uint64(1)
-        np.cumsum(codes * power[: high - low], out=sums[1:])
-        s, e = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = (sums[e] - sums[s]) * inverse[s]
+        last = max(int(np.searchsorted(ends, int(starts[first]) + block, "right")), first + 1)
+        begin, size = starts[first:last], (ends - starts)[first:last]
+        short = np.where(size <= _DEEP, size, 0)
+        stops = np.cumsum(short)
+        place = np.arange(int(stops[-1])) - np.repeat(stops - short, short)
+        sums = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum(tables[place << 8 | data[place + np.repeat(begin, short)]], out=sums[1:])
+        found = mix(sums[stops] - sums[stops - short] + mix(size.astype(np.uint64)))
+        for i in np.flatnonzero(size > _DEEP).tolist():
+            low = int(begin[i])
+            found[i] = xxhash.xxh3_64_intdigest(data[low : low + int(size[i])].tobytes(), key)
+        out[first:last] = found
         first = last
-    return mix(out + mix((ends - starts).astype(np.uint64)))
+    return out
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -386,7 +386,7 @@ def test_query_matches_oracle(spark, folder, name):
 
 def test_every_operator_has_a_query():
     names = [re.match(r"op(\d+)_", n) for n in contract.queries()]
-    assert {int(m[1]) for m in names if m} == set(range(1, 11))
+    assert {int(m[1]) for m in names if m} == set(range(1, 14))
 
 
 def test_pipeline(spark, folder):

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from slotcast.llm import byte_bpe, language, letters, packing, pieces, quality, spans, token_counts
+from slotcast.llm import byte_bpe, jaccard, language, letters, packing, pieces, quality, spans, token_counts
 
 ODD = [
     "", None, " ", "  ", "a", "a  b", "a \nb", "\n\na", "x<|endoftext|>y z", "<|endoftext|>",
@@ -119,6 +119,56 @@ def test_texts_are_decoded_from_the_ids(model, monkeypatch):
     assert next(check())[1] != b"one two three"
 
 
+def _thue_morse(length):
+    """Words of two letters that collide in every polynomial hash modulo 2^64."""
+    word = [bin(i).count("1") & 1 for i in range(length)]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_regular_words_keep_hashes_of_their_own(spark, bpe, model):
+    """Words of regular structure, alone, as chunks of ids, and next to each other."""
+    for tables in (spans._SHARED, spans.PRIVATE):
+        for length in (32, 64, 1024, 4096):
+            pair = np.frombuffer("".join(_thue_morse(length)).encode(), np.uint8)
+            ends = np.array([length, 2 * length])
+            a, b = spans.span_hashes(pair, ends - length, ends, tables)
+            assert a != b
+    rows = [(i, t, "x", 0, None) for i, t in enumerate(_thue_morse(1024) + _thue_morse(4096))]
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    for r in token_counts.token_counts(frame).collect():
+        assert r.n_tokens == len(bpe.encode(rows[r.doc_id][1], add_special_tokens=False).ids)
+    for r in packing.token_pieces(frame).collect():
+        ids = [*bpe.encode(rows[r.doc_id][1], add_special_tokens=False).ids, packing.END_ID]
+        part = np.array(ids[r.start : r.start + r.length], "<u4")
+        assert r.ids_crc32 == zlib.crc32(part.tobytes())
+    for r in pieces.digests(frame).collect():
+        ids = model.encode(rows[r.doc_id][1], add_bos=True, add_eos=True)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    sets = jaccard.near_duplicates(frame).collect()
+    assert all(r.component_id == r.doc_id for r in sets)
+
+
+def test_very_long_runs(spark, model):
+    texts = [" " * 1_000_000, "a" + " " * 100_003 + "b", "é" * 1_000_000, "日本" * 300_000]
+    frame = spark.createDataFrame([(i, t, "x", 0, None) for i, t in enumerate(texts)], SCHEMA)
+    for r in pieces.digests(frame).collect():
+        ids = model.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
+def test_all_given_documents_are_as_the_libraries_encode_them(spark, bpe, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in token_counts.token_counts(docs).collect():
+        assert r.n_tokens == len(bpe.encode(texts[r.doc_id], add_special_tokens=False).ids)
+    for r in pieces.digests(docs).collect():
+        ids = model.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
 def test_run_table_starts_anew_when_full():
     table = spans.RunTable(most=4)
     for base in (0, 10):
