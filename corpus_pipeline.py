@@ -20,8 +20,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    return jaccard.first_of_each(docs)
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Texts link if four fifths of their shingles of five words are the same.
+    """
+    return jaccard.first_of_each(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

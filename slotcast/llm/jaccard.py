@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotcast.llm import spans
@@ -19,6 +19,8 @@ WORDS = 3
 #: One in so many elements is given beyond those that a link may miss. More rows at first make
 #: the bound on shared elements stronger, and fewer sets pass it.
 _MORE = 8
+#: Bytes of text tokenised at once; a word takes about a hundred bytes meanwhile.
+_SLICE_BYTES = 1 << 19
 #: Largest size of sets whose subsets are enumerated, whatever the costs say.
 _MOST_LIGHT = 400
 
@@ -81,7 +83,7 @@ def _sliced(batches: Iterator[pa.RecordBatch], at: int, words: int):
     """Slices of the batches with the sets of their texts."""
     for batch in batches:
         _, offsets = spans.utf8(batch.column(at))
-        for low, high in spans.slices(offsets):
+        for low, high in spans.slices(offsets, _SLICE_BYTES):
             part = batch.slice(low, high - low)
             yield part, *shingles(part.column(at), words)
 
@@ -100,37 +102,41 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _low_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The smallest hashes of every set that can link to another: ``token``, ``sid``, ``need``.
+    """The smallest hashes of every set that can link to another: ``token``, cut to an int, ``sid``.
 
-    Every set gives as many as a link may miss, and an eighth more. Where one of two
-    linked sets ends first, all but the missing ones lie in both, so at least ``need`` of
-    a set's hashes, an eighth of its smallest partner, are given by another set too.
+    Every set gives as many as a link may miss, and an eighth more. A task gives equal sets once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(0, np.uint64)
         for _, tokens, bounds in _sliced(batches, 0, words):
             n = np.diff(bounds)
-            miss = n - least_overlap(n, percent)
-            take = np.where(100 * n >= percent * (n + 1), np.minimum(n, miss + n // _MORE + 2), 0)
-            at = spans.gather(bounds[:-1], take)
             sid, _ = _digests(tokens, bounds)
-            need = np.repeat(least_overlap(n, percent) // _MORE + 2, take).astype(np.int32)
-            columns = [_signed(tokens[at]), _signed(np.repeat(sid, take)), pa.array(need)]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "sid", "need"])
+            take = np.minimum(n, n - least_overlap(n, percent) + n // _MORE + 2)
+            take[100 * n < percent * (n + 1)] = 0
+            once = np.zeros(len(n), bool)
+            once[np.unique(sid, return_index=True)[1]] = True
+            take[~once | np.isin(sid, given)] = 0
+            given = np.union1d(given, sid[take > 0])
+            low = tokens[spans.gather(bounds[:-1], take)].astype(np.uint32).view(np.int32)
+            columns = [pa.array(low), _signed(np.repeat(sid, take))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "sid"])
 
-    return docs.select("t").mapInArrow(run, "token long, sid long, need int")
+    return docs.select("t").mapInArrow(run, "token int, sid long")
 
 
 def _hopeful(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Digests of the sets that share enough of their smallest hashes with other sets."""
+    """How many of its smallest hashes each set shares with other sets, at least: ``sid``, ``shared``.
+
+    Texts are tokenised once and their hashes shuffled once; in a run of equal hashes the
+    neighbours tell which sets share them.
+    """
     rows = _low_tokens(docs, words, percent)
-    ends = rows.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
-    shared = ends.filter(F.col("low") != F.col("high")).select("token")
-    # Copies of a text count again, which only lets more sets through.
-    found = rows.join(shared, "token").groupBy("sid").agg(
-        F.count("*").alias("shared"), F.first("need").alias("need")
-    )
-    return found.filter(F.col("shared") >= F.col("need")).select("sid")
+    run = Window.partitionBy("token").orderBy("sid")
+    other = (F.lag("sid").over(run) != F.col("sid")) | (F.lead("sid").over(run) != F.col("sid"))
+    met = rows.withColumn("other", other).filter("other")
+    # Equal sets of different tasks count again, which only lets more sets through.
+    return met.groupBy("sid").agg(F.count("*").alias("shared"))
 
 
 @contextmanager
@@ -370,7 +376,12 @@ def near_duplicates(
         rows.filter(F.col("n") > 0).groupBy(*by).agg(F.min("k").alias("id")), "classes"
     )
     hopeful = _hopeful(plain.filter(F.col("t").isNotNull()), words, percent)
-    chosen = classes.join(hopeful, "sid").select(F.col("id").alias("k"), "sid", "n")
+    # Where one of two linked sets ends first, all but the missing ones lie in both, so at least
+    # an eighth of a set's smallest partner is given by another set too.
+    least = least_overlap(F.col("n"), percent)
+    need = F.least(F.floor(least / _MORE) + 2, least)
+    chosen = classes.join(hopeful, "sid").filter(F.col("shared") >= need)
+    chosen = chosen.select(F.col("id").alias("k"), "sid", "n")
     chosen = materialize(chosen.filter(F.col("k").isNotNull()), "chosen")
     with _runtime_filters(docs.sparkSession):
         sets = _sets(plain, chosen.filter(F.col("n") > 1).select("k", "sid"), words)

@@ -27,7 +27,7 @@ def _set(text, words=3):
     return frozenset(zip(*[found[i:] for i in range(words)], strict=False))
 
 
-def _components(sets):
+def _components(sets, percent=90):
     """Smallest index reachable by links, by comparing all pairs."""
     parent = list(range(len(sets)))
 
@@ -38,7 +38,7 @@ def _components(sets):
 
     for i, j in itertools.combinations(range(len(sets)), 2):
         both = len(sets[i] & sets[j])
-        if both and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+        if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
             a, b = sorted((root(i), root(j)))
             parent[b] = a
     return [root(i) for i in range(len(sets))]
@@ -400,7 +400,7 @@ def test_pipeline(spark, folder):
     left = docs.filter(~F.col("doc_id").isin(sorted(toxic)))
     kept = {r.doc_id for r in quality.judge(left).collect() if r.kept}
     rows = sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id in kept)
-    parts = _components([_set(t) for _, t in rows])
+    parts = _components([_set(t, 5) for _, t in rows], 80)
     alone = {rows[i][0] for i in set(parts)}
     assert {r.doc_id for r in got} == alone
     pieces = packing.token_pieces(docs.filter(F.col("doc_id").isin(sorted(alone)))).collect()
