@@ -23,7 +23,7 @@ from slotcast.operators.features import fill_with_medians
 from slotcast.operators.windows import with_history
 from slotcast.plans.production import Store, reingest_actuals
 from slotcast.schemas import KEYS
-from slotcast.sources import readers, writers
+from slotcast.sources import readers, snapshots, writers
 from slotcast.sources.storage import new_path
 
 LIMITS = {"min_rows": 20, "min_train": 10, "min_test": 4}
@@ -255,6 +255,52 @@ def _(d):
     return d.spark.read.schema(schemas.FORECAST).parquet(path).drop("date")
 
 
+@check(
+    "k4_store_first_time",
+    f"""SELECT p.ds + s.start_time_interval AS ds, {K}, round(y - 20, 2) AS yhat
+    FROM panel p JOIN shifts s USING (location_id)
+    WHERE p.ds BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 23:45'
+    AND round(y - 20, 2) > 0""",
+)
+def _(d):
+    """A first store into an absent table, whose rows a later commit of the same run keeps."""
+    path = new_path(d.spark, "forecast")
+    for _ in range(2):
+        overwrite.commit_forecasts(path, _made(d, D12), d.shifts, D10, D12)
+    return snapshots.read_days(d.spark, path, schemas.FORECAST)
+
+
+@check("k4_commit_forecasts", _REPLACED_FORECASTS)
+def _(d):
+    """A range of a table of snapshots, replaced by one commit."""
+    path = new_path(d.spark, "forecast")
+    snapshots.commit_days(path, d.forecast)
+    made = _made(d, D12 + dt.timedelta(days=2))
+    overwrite.commit_forecasts(path, made, d.shifts, D10, D12)
+    return snapshots.read_days(d.spark, path, schemas.FORECAST)
+
+
+@check("k3_commit_actuals", _REPLACED_ACTUALS)
+def _(d):
+    path = new_path(d.spark, "actual")
+    snapshots.commit_days(path, d.sales_by_department)
+    overwrite.commit_actuals(path, d.batch, d.batch.select(*KEYS).distinct(), T10, T12)
+    return snapshots.read_days(d.spark, path, schemas.SALES)
+
+
+@check(
+    "s9_read_snapshot_days",
+    f"""SELECT ds, {K}, yhat FROM forecast
+    WHERE ds BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 23:59:59'""",
+)
+def _(d):
+    """An older snapshot stays as it was, and only its dates asked for are read."""
+    path = new_path(d.spark, "forecast")
+    first = snapshots.commit_days(path, d.forecast)
+    snapshots.commit_days(path, d.forecast.limit(0), D10, D12)
+    return snapshots.read_days(d.spark, path, schemas.FORECAST, D10, D12, version=first)
+
+
 @check(
     "k4_replace_forecasts_next_day_scope",
     f"""SELECT f.ds, {K}, yhat FROM forecast f WHERE NOT EXISTS (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.calendar import business_range, moment, to_clock_time
 from slotcast.operators.clean import sparse_forecast
 from slotcast.schemas import FORECAST, KEYS, SALES
+from slotcast.sources.snapshots import commit_days, read_days, versions
 from slotcast.sources.writers import read_day_partitions, store_day_partitions
 
 
@@ -147,3 +148,33 @@ def store_forecasts(
     stored = read_day_partitions(new_rows.sparkSession, path, FORECAST, first, last)
     days = replace_forecasts(stored, new_rows, shifts, start, end, keep_first_day, keys)
     store_day_partitions(path, days, first, last, "forecasts")
+
+
+def commit_actuals(
+    path: str, new_rows: DataFrame, series: DataFrame, start: dt.datetime, end: dt.datetime
+) -> int:
+    """``replace_actuals`` as one commit to a table of snapshots, which may not exist yet."""
+    first, last = start.date(), end.date()
+    spark = new_rows.sparkSession
+    base = (versions(spark, path) or [0])[-1]
+    stored = read_days(spark, path, SALES, first, last)
+    return commit_days(path, replace_actuals(stored, new_rows, series, start, end), first, last, base)
+
+
+def commit_forecasts(
+    path: str,
+    new_rows: DataFrame,
+    shifts: DataFrame,
+    start: dt.date,
+    end: dt.date,
+    keep_first_day: bool = False,
+    keys: list[str] = KEYS,
+) -> int:
+    """``replace_forecasts`` as one commit to a table of snapshots, which may not exist yet."""
+    day = dt.timedelta(days=1)
+    first, last = start - day, end + day
+    spark = new_rows.sparkSession
+    base = (versions(spark, path) or [0])[-1]
+    stored = read_days(spark, path, FORECAST, first, last)
+    days = replace_forecasts(stored, new_rows, shifts, start, end, keep_first_day, keys)
+    return commit_days(path, days, first, last, base)
