@@ -2,7 +2,8 @@
 
 Model: a trend with changepoints, plus yearly, weekly and daily Fourier terms and
 optional regressors scaled by the straight trend line, which makes them
-multiplicative, times a holiday factor. Ridge penalties act as normal priors.
+multiplicative, times a holiday factor. Ridge penalties act as normal priors; those of the
+changepoints are reweighted until they act as Laplace priors, which leave few bends.
 
 Each month of a series is reduced to its Gram matrix; adding the months up gives the
 normal equations of the series, and only those, a few kilobytes per month, meet in the
@@ -34,8 +35,12 @@ TREND_SCALE = 5.0
 CHANGEPOINT_SCALE = 0.05
 SEASONALITY_SCALE = 10.0
 INTERVAL_Z = 1.96
-# Rounds of estimating the residual variance, which sets the strength of the priors.
+# Rounds of estimating the residual variance, which sets the strength of the priors, and of
+# reweighting the changepoints' priors by the bends found.
 VARIANCE_STEPS = 4
+BEND_STEPS = 30
+# Bends below this share of the series' level are none.
+LEAST_BEND = 1e-6
 
 _KEY_SCHEMA = ", ".join(f"{k} long" for k in KEYS)
 _PERIOD = "period"
@@ -130,10 +135,31 @@ def _gram(regressors: list[str]):
     return reduce_month
 
 
+def _reweighted(
+    xx: np.ndarray, xy: np.ndarray, prior: np.ndarray, variance: float, level: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and priors once the changepoints' penalties are those of Laplace priors.
+
+    A normal prior of variance ``scale * |bend|`` has the same slope at the bend as a Laplace prior
+    of that scale. Bends that explain little shrink from round to round, and free their share
+    for the others. Only the normal equations are solved anew.
+    """
+    prior = prior.copy()
+    bends = slice(2, 2 + CHANGEPOINTS)
+    scale = prior[bends].copy()
+    beta = np.linalg.solve(xx + np.diag(variance / prior**2), xy)
+    for _ in range(BEND_STEPS):
+        prior[bends] = np.sqrt(scale * np.maximum(np.abs(beta[bends]), LEAST_BEND * level))
+        beta = np.linalg.solve(xx + np.diag(variance / prior**2), xy)
+    return beta, prior
+
+
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ridge solution from the added-up months, its strength set by the residual variance.
 
-    Its months run from the first with training rows to the last of the series.
+    Its months run from the first with training rows to the last of the series. ``factor`` is
+    the triangular root of the coefficients' covariance, ``drift`` the variance that trend
+    changes yet to come add at one span beyond the history.
     """
     xy = sum(np.frombuffer(b) for b in pdf["xy"])
     xx = sum(np.frombuffer(b) for b in pdf["xx"]).reshape(len(xy), len(xy))
@@ -145,11 +171,24 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         beta = np.linalg.solve(xx + np.diag(variance / prior**2), xy)
         squares = yy - 2 * beta @ xy + beta @ xx @ beta
         variance = max(squares / n, (1e-6 * level) ** 2)
+    beta, prior = _reweighted(xx, xy, prior, variance, level)
+    squares = max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
+    inverse = np.linalg.inv(xx + np.diag(variance / prior**2))
+    # Each coefficient that the data decide takes one residual away.
+    free = max(n - float(np.trace(inverse @ xx)), 1.0)
+    noise = max(squares / free, (1e-6 * level) ** 2)
+    covariance = noise * (inverse + inverse.T) / 2
+    values, vectors = np.linalg.eigh(covariance)
+    root = np.linalg.qr((vectors * np.sqrt(np.maximum(values, 0.0))).T, mode="r")
+    # Changes come as often as changepoints stand in the history, and are as large as their mean.
+    size = float(np.abs(beta[2 : 2 + CHANGEPOINTS]).mean())
     out = pdf[KEYS].head(1).copy()
     out["periods"] = [np.arange(pdf[_PERIOD].min(), pdf["last_period"].iloc[0] + 1)]
     out["last_train"] = [pdf[_PERIOD].max()]
     out["coefficients"] = [beta]
-    out["sigma"] = [float(np.sqrt(variance))]
+    out["sigma"] = [float(np.sqrt(noise))]
+    out["factor"] = [root[np.triu_indices(len(xy))].astype(np.float32).tobytes()]
+    out["drift"] = [2 * size**2 * CHANGEPOINTS / CHANGEPOINT_RANGE / 3]
     return out
 
 
@@ -168,19 +207,34 @@ def fit(prepared: DataFrame, regressors: list[str]) -> DataFrame:
     return months.groupBy(*KEYS).applyInPandas(
         _solve,
         f"{_KEY_SCHEMA}, periods array<int>, last_train int, "
-        "coefficients array<double>, sigma double",
+        "coefficients array<double>, sigma double, factor binary, drift double",
     )
 
 
+def _deviation(design: np.ndarray, ahead: np.ndarray, model: pd.Series) -> np.ndarray:
+    """Standard deviation of new values: noise, coefficients, and trend changes ahead.
+
+    ``ahead`` is how many spans of the history a row lies beyond it. A change at ``u`` moves the trend
+    at ``h`` by its size times ``h - u``, so all changes add up to a variance of ``drift * h^3``.
+    """
+    size = design.shape[1]
+    root = np.zeros((size, size))
+    root[np.triu_indices(size)] = np.frombuffer(model["factor"], np.float32)
+    own = ((design @ root.T) ** 2).sum(axis=1)
+    later = model["drift"] * np.maximum(ahead, 0.0) ** 3
+    return np.sqrt(model["sigma"] ** 2 + own + later)
+
+
 def _predict(regressors: list[str]):
     def predict_month(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         out = rows[[*KEYS, "ds", "y"]].copy()
         if rows.empty or model.empty:
             return out.head(0).assign(yhat=[], yhat_lower=[], yhat_upper=[])
         factor = rows["holiday_factor"].to_numpy()
-        beta = np.asarray(model["coefficients"].iloc[0])
-        out["yhat"] = _design(rows, regressors) @ beta * factor
-        margin = INTERVAL_Z * model["sigma"].iloc[0]
+        design = _design(rows, regressors)
+        out["yhat"] = design @ np.asarray(model["coefficients"].iloc[0]) * factor
+        ahead = rows["x"].to_numpy() / rows["span"].to_numpy() - 1
+        margin = INTERVAL_Z * np.abs(factor) * _deviation(design, ahead, model.iloc[0])
         out["yhat_lower"] = out["yhat"] - margin
         out["yhat_upper"] = out["yhat"] + margin
         return out
@@ -222,7 +276,11 @@ def ridge_forecast(
     min_train: int = 50,
     min_test: int = 10,
 ) -> DataFrame:
-    """Predictions with 95% interval for the held-out end of each long enough series."""
+    """Predictions with 95% interval for the held-out end of each long enough series.
+
+    The interval holds the residuals' variance, that of the fitted coefficients at the row, and that of
+    trend changes after the history, so it widens with the horizon.
+    """
     names = list(regressors)
     split = with_split(panel if labels is None else with_holiday_label(panel, labels))
     # Fitting and prediction both read it.
