@@ -11,7 +11,8 @@ from checks.sql import K
 from checks.sql import r as sql_r
 from checks.tables import _FUTURE, _JOINED, _PROFILE_SQL, _WX, LIMITS, payload_sql
 from slotcast.functions.calendar import moment, with_calendar
-from slotcast.operators import audit, blend, evaluate, features, gapfill, publish
+from slotcast import schemas
+from slotcast.operators import audit, blend, boosted, evaluate, features, gapfill, publish
 from slotcast.operators import profile as prof
 from slotcast.operators import weather as wx
 from slotcast.operators import windows as win
@@ -20,6 +21,8 @@ from slotcast.operators.ridge import fit_status, ridge_forecast
 from slotcast.plans import evaluation, production
 from slotcast.plans.panel import Tables
 from slotcast.schemas import KEYS, WEATHER_VALUES
+from slotcast.sources import snapshots
+from slotcast.sources.storage import new_path
 
 D10, D12 = dt.date(2024, 1, 10), dt.date(2024, 1, 12)
 
@@ -89,6 +92,56 @@ def _(d):
     return ridge_forecast(d.dense, d.labels)
 
 
+# What must hold for a model whose numbers SQL can't say: a row for every row held out, no gaps,
+# ordered intervals, and errors below those of the series' mean.
+_HELD_OUT = f"""SELECT {K}, count(*) AS n_rows, 0 AS n_gaps, 0 AS n_unordered, 0 AS n_narrow,
+    true AS beats_mean FROM z_pred GROUP BY ALL"""
+
+
+def _properties(d, rows, share: float = 1.0):
+    mean = baseline_forecast(d.dense, d.labels).select(*KEYS, "ds")
+    level = d.dense.join(mean, [*KEYS, "ds"], "left_anti").groupBy(*KEYS)
+    level = level.agg(F.avg("y").alias("level"))
+    gap = F.col("yhat").isNull() | F.isnan("yhat")
+    narrow = (F.col("yhat_upper") - F.col("yhat_lower")) <= 0
+    error, naive = F.avg(F.abs(F.col("y") - F.col("yhat"))), F.avg(F.abs(F.col("y") - F.col("level")))
+    return rows.join(level, KEYS).groupBy(*KEYS).agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(gap).cast("int").alias("n_gaps"),
+        F.count_if(~F.col("yhat").between(F.col("yhat_lower"), F.col("yhat_upper"))).cast("int").alias("n_unordered"),
+        F.count_if(narrow).cast("int").alias("n_narrow"),
+        (error < share * naive).alias("beats_mean"),
+    )
+
+
+@check("m1_ridge_properties", _HELD_OUT)
+def _(d):
+    return _properties(d, ridge_forecast(d.dense, d.labels), 1.25)
+
+
+@check("m3_ridge_properties", _HELD_OUT)
+def _(d):
+    weathered = wx.with_daily_weather(wx.with_postal_code(d.dense, d.location), d.weather_daily)
+    return _properties(d, ridge_forecast(weathered, d.labels, WEATHER_VALUES), 1.25)
+
+
+@check(
+    "m1_interval_widths",
+    f"SELECT DISTINCT {K}, true AS widens, true AS covers FROM z_pred",
+)
+def _(d):
+    """Intervals that widen over the horizon and hold most of the values."""
+    rows = ridge_forecast(d.dense, d.labels)
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    day = F.to_date("ds")
+    first, last = day <= dt.date(2024, 1, 25), day >= dt.date(2024, 1, 29)
+    inside = F.avg(F.col("y").between(F.col("yhat_lower"), F.col("yhat_upper")).cast("double"))
+    return rows.groupBy(*KEYS).agg(
+        (F.avg(F.when(first, width)) < F.avg(F.when(last, width))).alias("widens"),
+        (inside > 0.8).alias("covers"),
+    )
+
+
 @check(
     "m1_fit_status",
     f"""SELECT {K}, n AS n_rows, CASE WHEN n >= 370 THEN 'fitted' ELSE 'too_short' END AS status
@@ -373,6 +426,57 @@ def _(d):
     return rounded(rows, "baseline_mae", "model_mae", "improvement_pct")
 
 
+_STATUS = f"""SELECT {K}, n_rows, n_tree_rows, CASE WHEN n_rows = 0 THEN 'no_history'
+    WHEN n_rows < 150 THEN 'too_short' WHEN n_tree_rows < 60 THEN 'baseline' ELSE 'blended' END AS status
+    FROM (SELECT {K}, count(ds) AS n_rows, greatest(count(ds) - 672, 0) AS n_tree_rows FROM
+        (SELECT DISTINCT location_id, sales_type_id, coalesce(department_id, 0) AS department_id FROM grid)
+        LEFT JOIN (SELECT f.ds - s.start_time_interval AS ds, location_id, sales_type_id,
+            CASE WHEN t.level = 'L' THEN 0 ELSE coalesce(department_id, 0) END AS department_id
+            FROM salesd f JOIN sales_type t ON t.id = f.sales_type_id AND t.forecast_enabled
+            JOIN shifts s USING (location_id)
+            WHERE f.ds BETWEEN TIMESTAMP '2022-02-01' + s.start_time_interval
+                AND TIMESTAMP '2024-01-31 23:45' + s.start_time_interval GROUP BY ALL) USING ({K})
+        GROUP BY ALL)"""
+
+
+@check("e3_run_status", _STATUS)
+def _(d):
+    return production.run_status(store(d), dt.date(2024, 1, 31), min_rows=150, min_tree_rows=60)
+
+
+@check(
+    "e3_stored_run",
+    f"""SELECT {K}, 180 AS n_days, 0 AS n_not_positive, true AS as_published FROM ({_STATUS})
+    WHERE status <> 'no_history' AND status <> 'too_short'""",
+)
+def _(d):
+    """A run that writes its forecast, payload and status, read back from its folder."""
+    folder = new_path(d.spark, "run")
+    run_date = dt.date(2024, 1, 31)
+    params = boosted.TreeParams(max_iter=2, max_depth=2)
+    version = production.run(
+        store(d), run_date, folder, min_rows=150, min_tree_rows=60, params=params
+    )
+    stored = snapshots.read_days(d.spark, f"{folder}/forecast", schemas.FORECAST, version=version)
+    status = d.spark.read.parquet(f"{folder}/status/{run_date}").filter("status IN ('baseline', 'blended')")
+    kinds = "belongs_to string, forecasts array<string>, location_id long, sales_type_id long, department_id long"
+    payload = d.spark.read.schema(kinds).json(f"{folder}/payload/{run_date}")
+    sent = payload.groupBy(*KEYS).agg(
+        F.count_distinct("belongs_to").alias("days"),
+        F.sum(F.size(F.filter("forecasts", lambda x: x != ""))).alias("values"),
+    )
+    whole = F.count_if(F.bround("yhat", 2) != 0).alias("n")
+    bad = F.count_if(~(F.col("yhat") > 0)).cast("int").alias("n_not_positive")
+    rows = stored.groupBy(*KEYS).agg(whole, bad)
+    joined = status.join(sent, KEYS, "left").join(rows, KEYS, "left")
+    return joined.select(
+        *KEYS,
+        F.coalesce("days", F.lit(0)).cast("int").alias("n_days"),
+        F.coalesce("n_not_positive", F.lit(0)).alias("n_not_positive"),
+        (F.coalesce("values", F.lit(0)) == F.coalesce("n", F.lit(0))).alias("as_published"),
+    )
+
+
 @check("e3_production_forecast")
 def _(d):
     return production.production_forecast(

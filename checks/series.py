@@ -313,6 +313,26 @@ def _(d):
     return clean.sampled_series(d.panel, fraction=0.4, seed=7)
 
 
+_SHARES = " UNION ALL ".join(
+    f"""SELECT {share}::DOUBLE AS share, {K}, count(*) AS n_rows FROM panel
+    WHERE ({K}) IN (SELECT ({K}) FROM (SELECT {K}, count(*) OVER () AS n, row_number() OVER (ORDER BY
+        md5('7|' || location_id || '|' || sales_type_id || '|' || department_id)) AS place
+        FROM (SELECT DISTINCT {K} FROM panel)) WHERE place <= floor(n * {share}::DOUBLE)) GROUP BY ALL"""
+    for share in (0.1, 0.5, 0.9)
+)
+
+
+@check("a25_series_sample", _SHARES)
+def _(d):
+    """Three shares of the series, each of an exact number of whole series."""
+    parts = [
+        clean.series_sample(d.panel, share, seed=7).groupBy(*KEYS).agg(F.count("*").alias("n_rows"))
+        .withColumn("share", F.lit(share))
+        for share in (0.1, 0.5, 0.9)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # Windows
 
 _LAGS = ", ".join(f"lag(y, {n}) OVER w AS lag_{n}_15min" for n in win.LAGS)

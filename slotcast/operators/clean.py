@@ -12,6 +12,10 @@ from slotcast.schemas import KEYS
 NO_DEPARTMENT = 0
 
 
+#: Leading hexadecimal digits of the hashes that series are counted by.
+_CELL_DIGITS = 3
+
+
 def fill_department(df: DataFrame) -> DataFrame:
     """A missing department becomes department 0, so the key has no NULL part."""
     department = F.coalesce(F.col("department_id"), F.lit(NO_DEPARTMENT)).cast("long")
@@ -144,14 +148,49 @@ def sampled_series(df: DataFrame, fraction: float, seed: int, keys: list[str] =
     """All rows of a seeded pseudo-random share of the series.
 
     The decision is a hash of the key alone, so it needs no shuffle and a series
-    is taken whole or not at all.
+    is taken whole or not at all. ``series_sample`` takes an exact number of series.
     """
     return df.filter(key_hash(keys, seed) < F.lit(hash_threshold(fraction)))
 
 
-def key_hash(keys: list[str], seed: int) -> Column:
+def chosen_series(
+    series: DataFrame, fraction: float, seed: int, keys: list[str] = KEYS
+) -> DataFrame:
+    """The keys of ``int(n * fraction)`` of the ``n`` distinct series, those with the least hashes.
+
+    Hashes are counted by their first digits, a count that adds up over partitions. Only the
+    series that share these digits are ranked with each other, so no task sorts all keys.
+    """
+    hashed = series.select(*keys).distinct().withColumn("_hash", seeded_hash(keys, seed))
+    hashed = hashed.withColumn("_cell", F.substring("_hash", 1, _CELL_DIGITS))
+    sizes = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
+    # A row per cell, 16 ** _CELL_DIGITS at most.
+    upto = F.sum("_size").over(Window.orderBy("_cell"))
+    count = F.sum("_size").over(Window.partitionBy())
+    cells = sizes.select(
+        "_cell", (upto - F.col("_size")).alias("_before"), F.floor(count * F.lit(fraction)).alias("_wanted")
+    )
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", *keys))
+    ranked = hashed.withColumn("_rank", rank).join(cells.filter("_before < _wanted"), "_cell")
+    return ranked.filter("_before + _rank <= _wanted").select(*keys)
+
+
+def series_sample(df: DataFrame, fraction: float, seed: int, keys: list[str] = KEYS) -> DataFrame:
+    """All rows of exactly ``int(n * fraction)`` of the ``n`` series, chosen by a seeded hash."""
+    t, s = df.alias("t"), chosen_series(df, fraction, seed, keys).alias("s")
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"t.{key}").eqNullSafe(F.col(f"s.{key}"))
+    return t.join(s, same, "left_semi")
+
+
+def seeded_hash(keys: list[str], seed: int) -> Column:
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    return F.substring(F.md5(text), 1, 8)
+    return F.md5(text)
+
+
+def key_hash(keys: list[str], seed: int) -> Column:
+    return F.substring(seeded_hash(keys, seed), 1, 8)
 
 
 def hash_threshold(fraction: float) -> str:

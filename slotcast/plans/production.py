@@ -3,7 +3,7 @@
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotcast.functions.calendar import moment, with_calendar
@@ -19,17 +19,21 @@ from slotcast.operators.clean import (
 from slotcast.operators.features import future_features, production_features
 from slotcast.operators.hierarchy import forecast_grid, start_intervals
 from slotcast.operators.holidays import holiday_dates, holiday_labels, with_holiday_flag
-from slotcast.operators.overwrite import replace_actuals, replace_forecasts
+from slotcast.operators.overwrite import commit_forecasts, replace_actuals, replace_forecasts
 from slotcast.operators.profile import with_profile
 from slotcast.operators.publish import day_payload
 from slotcast.operators.ridge import ridge_future
 from slotcast.operators.windows import with_history
-from slotcast.schemas import KEYS, WEATHER_VALUES
+from slotcast.schemas import FORECAST, KEYS, WEATHER_VALUES
+from slotcast.sources.snapshots import read_days
 from slotcast.sources.storage import materialize
+from slotcast.sources.writers import write_payload
 
 # Days of history and of forecast.
 HISTORY_DAYS = 730
 HORIZON_DAYS = 180
+# Rows of a full week, which the longest lag looks back.
+WEEK_ROWS = 672
 
 
 @dataclass(frozen=True)
@@ -114,6 +118,72 @@ def _tree_future(
     return blend.post_process(predicted, "yhat_b", quiet_rule=False)
 
 
+def run_status(
+    store: Store,
+    run_date: dt.date,
+    history_days: int = HISTORY_DAYS,
+    min_rows: int = 100,
+    min_tree_rows: int = boosted.MIN_ROWS,
+    keep_warmup: bool = False,
+) -> DataFrame:
+    """What becomes of every series of the grid, so that none vanishes silently.
+
+    Rows ``(keys, n_rows, n_tree_rows, status)``. The status is ``no_history``, ``too_short`` for
+    any model, ``baseline`` without the tree model for want of rows, or ``blended``. A series
+    whose location, sales type or department the grid lacks has no row.
+    """
+    history = task_history(store, run_date, history_days)
+    lag = F.lag("y", WEEK_ROWS).over(Window.partitionBy(*KEYS).orderBy("ds"))
+    usable = F.lit(True) if keep_warmup else F.col("_lag").isNotNull()
+    sizes = history.withColumn("_lag", lag).groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(usable).alias("n_tree_rows")
+    )
+    grid = forecast_grid(store.location, store.sales_type, store.department)
+    series = grid.select(*KEYS).fillna(0, ["department_id"]).distinct()
+    found = series.join(sizes, KEYS, "left").fillna(0, ["n_rows", "n_tree_rows"])
+    status = (
+        F.when(F.col("n_rows") == 0, "no_history")
+        .when(F.col("n_rows") < min_rows, "too_short")
+        .when(F.col("n_tree_rows") < max(min_tree_rows, 1), "baseline")
+        .otherwise("blended")
+    )
+    return found.withColumn("status", status)
+
+
+def run(
+    store: Store,
+    run_date: dt.date,
+    folder: str,
+    horizon_days: int = HORIZON_DAYS,
+    history_days: int = HISTORY_DAYS,
+    min_rows: int = 100,
+    min_tree_rows: int = boosted.MIN_ROWS,
+    params: boosted.TreeParams = boosted.PRODUCTION_PARAMS,
+    keep_warmup: bool = False,
+) -> int:
+    """Forecast, store and publish; returns the snapshot of the forecast table.
+
+    ``folder`` gets the table of snapshots ``forecast``, and for this run the day payloads
+    ``payload/<run date>`` and the status of every series ``status/<run date>``. The forecast is
+    published last but the payload, which is read from it. A repeated run replaces its days.
+    """
+    spark = store.actual.sparkSession
+    last = run_date + dt.timedelta(days=horizon_days - 1)
+    status = run_status(store, run_date, history_days, min_rows, min_tree_rows, keep_warmup)
+    status.write.mode("overwrite").parquet(f"{folder}/status/{run_date}")
+    forecast = production_forecast(
+        store, run_date, horizon_days, history_days, min_rows, min_tree_rows, params, keep_warmup
+    )
+    shifts = start_intervals(store.location, store.corporation)
+    table = f"{folder}/forecast"
+    version = commit_forecasts(table, materialize(forecast, "forecast"), shifts, run_date, last)
+    # Clock time may lie up to a day behind business time.
+    day = dt.timedelta(days=1)
+    stored = read_days(spark, table, FORECAST, run_date - day, last + day, version)
+    write_payload(publish(stored, store, run_date, last), f"{folder}/payload/{run_date}", "overwrite")
+    return version
+
+
 def store_forecast(
     stored: DataFrame, forecast: DataFrame, store: Store, start: dt.date, end: dt.date
 ) -> DataFrame:

@@ -59,9 +59,9 @@ def write_comparison(report: DataFrame, zeros: DataFrame, path: str) -> None:
     comparison_document(report, zeros).write.json(path)
 
 
-def write_payload(payload: DataFrame, path: str) -> None:
+def write_payload(payload: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON object per line, one line per series and business day."""
-    payload.select(record_json(*payload.columns).alias("value")).write.text(path)
+    payload.select(record_json(*payload.columns).alias("value")).write.mode(mode).text(path)
 
 
 def write_day_partitions(facts: DataFrame, path: str, mode: str = "dynamic") -> None:

@@ -14,6 +14,7 @@ from slotcast.operators.ridge import fit_status, ridge_forecast, ridge_future
 from slotcast.plans import evaluation, production
 from slotcast.plans.panel import Tables, panel_of
 from slotcast.schemas import KEYS
+from slotcast.sources import snapshots
 
 START = pd.Timestamp("2024-01-01")
 TREES = boosted.TreeParams(max_iter=2, max_depth=2)
@@ -194,7 +195,7 @@ def test_no_long_series_means_no_trees(spark, panel, side_tables):
     assert evaluation.tree_predictions(tables, limits, TREES).count() == 0
 
 
-def test_production_run_stores_and_publishes(spark, panel, side_tables):
+def test_production_run_stores_and_publishes(spark, panel, side_tables, tmp_path):
     holiday, location, _ = side_tables
     store = production.Store(
         actual=panel.withColumn("department_id", F.lit(None).cast("long")),
@@ -223,6 +224,25 @@ def test_production_run_stores_and_publishes(spark, panel, side_tables):
     payload = production.publish(stored, store, run_date, end).collect()
     assert len(payload) == 4 and all(len(r.forecasts) == 96 for r in payload)
 
+    # Run again as a whole, into a folder that isn't there yet, and once more.
+    folder = str(tmp_path / "run")
+    for number in (1, 2):
+        version = production.run(store, run_date, folder, 2, min_tree_rows=1000, params=TREES)
+        assert version == number
+    again = snapshots.read_days(spark, f"{folder}/forecast", schemas.FORECAST)
+    assert again.count() == stored.count()
+    assert spark.read.text(f"{folder}/payload/{run_date}").count() == 4
+    status = spark.read.parquet(f"{folder}/status/{run_date}").collect()
+    assert {(r.location_id, r.n_rows, r.n_tree_rows, r.status) for r in status} == {
+        (s, 28 * 96, 21 * 96, "blended") for s in (0, 1)
+    }
+    some = production.run_status(store, run_date, min_rows=28 * 96 + 1).collect()
+    assert {r.status for r in some} == {"too_short"}
+    some = production.run_status(store, run_date, min_tree_rows=21 * 96 + 1).collect()
+    assert {r.status for r in some} == {"baseline"}
+    none = production.run_status(store, dt.date(2030, 1, 1)).collect()
+    assert {(r.n_rows, r.status) for r in none} == {(0, "no_history")}
+
 
 def test_pandas_worker_sees_one_month_at_a_time(spark, panel):
     """The grouped fit is keyed by series and month, so no task gets a whole series."""

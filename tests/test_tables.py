@@ -386,6 +386,22 @@ def test_medians_are_exact(spark, cells):
     assert [tuple(r) for r in nothing] == [(None,)]
 
 
+@pytest.mark.parametrize("fraction", [0.0, 0.1, 0.37, 1.0])
+def test_sample_of_an_exact_number_of_series(spark, fraction):
+    """Whole series, null departments included, and the same ones for the same seed."""
+    rows = [(i % 120, 7, None if i % 3 else i % 2, float(i)) for i in range(1200)]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} long" for k in KEYS) + ", y double")
+    size = df.select(*KEYS).distinct().count()
+    taken = clean.series_sample(df, fraction, seed=3)
+    series = {(r.location_id, r.department_id) for r in taken.collect()}
+    assert len(series) == int(size * fraction)
+    whole = [r for r in rows if (r[0], r[2]) in series]
+    assert taken.count() == len(whole)
+    again = clean.series_sample(df.repartition(5), fraction, seed=3)
+    assert {(r.location_id, r.department_id) for r in again.collect()} == series
+    assert clean.series_sample(df.limit(0), fraction, seed=3).collect() == []
+
+
 # Hierarchy, sources and storage
 
 
