@@ -10,8 +10,8 @@ from checks.series import _HISTORY, _IMPROVEMENT, _REGRESSORS, _W, _same_interva
 from checks.sql import K
 from checks.sql import r as sql_r
 from checks.tables import _FUTURE, _JOINED, _PROFILE_SQL, _WX, LIMITS, payload_sql
-from slotcast.functions.calendar import moment, with_calendar
 from slotcast import schemas
+from slotcast.functions.calendar import moment, with_calendar
 from slotcast.operators import audit, blend, boosted, evaluate, features, gapfill, publish
 from slotcast.operators import profile as prof
 from slotcast.operators import weather as wx
@@ -245,7 +245,7 @@ _FUTURE_ROLL = ", ".join(
         GROUP BY location_id, sales_type_id, department_id) USING ({K})""",
 )
 def _(d):
-    future = gapfill.future_slots(d.panel, 2)
+    future = gapfill.future_slots(d.panel, production.HORIZON_DAYS)
     rows = features.future_features(future, d.panel, d.location, d.holiday)
     stats = [f"lag_{n}_15min" for n in win.LAGS] + _ROLL_NAMES
     return rounded(rows, *stats, *prof.PROFILE)

@@ -18,6 +18,7 @@ from slotcast.operators import weather as wx
 from slotcast.operators import windows as win
 from slotcast.operators.features import EVALUATION_FEATURES
 from slotcast.operators.median import column_medians, medians_by_column
+from slotcast.plans.production import HORIZON_DAYS
 from slotcast.schemas import KEYS
 
 D10, D12 = dt.date(2024, 1, 10), dt.date(2024, 1, 12)
@@ -528,10 +529,10 @@ def _(d):
     "g4_history_and_future",
     f"""SELECT ds, {K} FROM panel UNION ALL SELECT last + s::INT * INTERVAL 15 MINUTE, {K}
     FROM (SELECT {K}, max(ds) AS last FROM panel GROUP BY ALL)
-    CROSS JOIN (SELECT unnest(generate_series(1, 5 * 96)) AS s)""",
+    CROSS JOIN (SELECT unnest(generate_series(1, {HORIZON_DAYS} * 96)) AS s)""",
 )
 def _(d):
-    return gapfill.history_and_future(d.panel, 5)
+    return gapfill.history_and_future(d.panel, HORIZON_DAYS)
 
 
 @check(

@@ -21,7 +21,7 @@ from slotcast.operators.baseline import baseline_forecast
 from slotcast.operators.blend import evaluation_blend, pair_predictions
 from slotcast.operators.features import fill_with_medians
 from slotcast.operators.windows import with_history
-from slotcast.plans.production import Store, reingest_actuals
+from slotcast.plans.production import HORIZON_DAYS, Store, reingest_actuals
 from slotcast.schemas import KEYS
 from slotcast.sources import readers, snapshots, writers
 from slotcast.sources.storage import new_path
@@ -742,7 +742,7 @@ def _(d):
 
 _FUTURE = f"""(SELECT {K}, last + s::INT * INTERVAL 15 MINUTE AS ds
     FROM (SELECT {K}, max(ds) AS last FROM panel GROUP BY ALL)
-    CROSS JOIN (SELECT unnest(generate_series(1, 2 * 96)) AS s))"""
+    CROSS JOIN (SELECT unnest(generate_series(1, {HORIZON_DAYS} * 96)) AS s))"""
 _FUTURE_CELL = "hour(ds) * 4 + minute(ds) // 15 AS interval_of_day, isodow(ds) - 1 AS dayofweek"
 
 
@@ -754,7 +754,7 @@ _FUTURE_CELL = "hour(ds) * 4 + minute(ds) // 15 AS interval_of_day, isodow(ds) -
 )
 def _(d):
     profile = prof.interval_profile(with_calendar(d.panel))
-    future = with_calendar(gapfill.future_slots(d.panel, 2))
+    future = with_calendar(gapfill.future_slots(d.panel, HORIZON_DAYS))
     joined = prof.attach_profile(future, profile)
     return rounded(joined, *_PROFILE_NAMES).select("ds", *KEYS, *_PROFILE_NAMES, "typical_open")
 
@@ -766,7 +766,7 @@ def _(d):
         WHERE h.date = f.ds::DATE) THEN 1 ELSE 0 END AS is_holiday FROM {_FUTURE} f""",
 )
 def _(d):
-    future = gapfill.future_slots(d.panel, 2)
+    future = gapfill.future_slots(d.panel, HORIZON_DAYS)
     dates = hol.holiday_dates(d.holiday, d.location, windows=True)
     return hol.with_holiday_flag(future, dates).select("ds", *KEYS, "is_holiday")
 
