@@ -226,9 +226,7 @@ _FUTURE_ROLL = ", ".join(
 )
 
 
-@check(
-    "m5_future_features",
-    f"""SELECT f.ds, {K}, hour(ds) AS hour, minute(ds) AS minute, interval_of_day, dayofweek,
+_FUTURE_FEATURES = f"""SELECT f.ds, {K}, hour(ds) AS hour, minute(ds) AS minute, interval_of_day, dayofweek,
     day(ds) AS dayofmonth, weekofyear(ds) AS weekofyear,
     CASE WHEN isodow(ds) >= 6 THEN 1 ELSE 0 END AS is_weekend, {_PROFILE_SQL},
     CASE WHEN interval_zero_rate < 0.8 THEN 1 ELSE 0 END AS typical_open,
@@ -242,8 +240,10 @@ _FUTURE_ROLL = ", ".join(
     LEFT JOIN profile USING ({K}, interval_of_day, dayofweek)
     JOIN (SELECT {K}, {sql_r("avg(y)")} AS m, {sql_r("stddev_samp(y)")} AS s,
         avg(CASE WHEN y = 0 THEN 1.0::DOUBLE ELSE 0 END) AS z FROM panel
-        GROUP BY location_id, sales_type_id, department_id) USING ({K})""",
-)
+        GROUP BY location_id, sales_type_id, department_id) USING ({K})"""
+
+
+@check("m5_future_features", _FUTURE_FEATURES)
 def _(d):
     future = gapfill.future_slots(d.panel, production.HORIZON_DAYS)
     rows = features.future_features(future, d.panel, d.location, d.holiday)
@@ -251,6 +251,14 @@ def _(d):
     return rounded(rows, *stats, *prof.PROFILE)
 
 
+@check("m5_future_frame", _FUTURE_FEATURES)
+def _(d):
+    """The same rows joined by date before slots are told apart."""
+    rows = features.future_frame(d.panel, production.HORIZON_DAYS, d.location, d.holiday)
+    stats = [f"lag_{n}_15min" for n in win.LAGS] + _ROLL_NAMES
+    return rounded(rows, *stats, *prof.PROFILE)
+
+
 _CELL = "hour(ds) * 4 + minute(ds) // 15 AS interval_of_day, isodow(ds) - 1 AS dayofweek"
 _CELL_OF_DENSE = f"""(SELECT {K}, {_CELL},
     avg(CASE WHEN y = 0 THEN 1.0::DOUBLE ELSE 0 END) AS zr FROM dense GROUP BY ALL)"""

@@ -1,15 +1,16 @@
 """Feature matrices for the boosted-tree model."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.functions.calendar import with_calendar
+from slotcast.functions.calendar import slot_time, with_calendar
+from slotcast.functions.scalars import typical_open
 from slotcast.operators import holidays as hol
 from slotcast.operators import weather as wx
 from slotcast.operators.clean import existing, without_warmup
 from slotcast.operators.median import column_medians
 from slotcast.operators.profile import PROFILE, attach_profile, interval_profile, series_profile
-from slotcast.operators.profile import with_profile
+from slotcast.operators.profile import series_statistics, with_profile
 from slotcast.operators.windows import (
     LAGS,
     ROLLING,
@@ -19,7 +20,7 @@ from slotcast.operators.windows import (
     with_same_interval_lags,
     with_spike,
 )
-from slotcast.schemas import KEYS, WEATHER_VALUES
+from slotcast.schemas import KEYS, SLOT_MINUTES, SLOTS_PER_DAY, WEATHER_VALUES
 
 # The feature lists of the evaluation and the production model.
 EVALUATION_FEATURES = [
@@ -112,6 +113,49 @@ def production_features(
     return ready_features(features, PRODUCTION_FEATURES, WEATHER_VALUES, keep_warmup)
 
 
+def _unknown_history() -> dict[str, Column]:
+    columns = {f"lag_{n}_15min": F.col("y_mean") for n in LAGS}
+    columns |= {f"rolling_mean_{n}_15min": F.col("y_mean") for n in ROLLING}
+    columns |= {f"rolling_std_{n}_15min": F.col("y_std") for n in ROLLING}
+    columns["prev_was_zero"] = F.col("y_zero_rate")
+    columns |= {f"zeros_in_last_{n}": F.col("y_zero_rate") * n for n in ZERO_WINDOWS}
+    return columns | {name: F.lit(value) for name, value in FUTURE_WEATHER.items()}
+
+
+def future_frame(
+    history: DataFrame, days: int, location: DataFrame, holidays: DataFrame
+) -> DataFrame:
+    """``future_features`` of the ``days * 96`` slots after the last row of each series.
+
+    All joins are of one row per series and date, which carries its weekday's 96 profile cells as
+    one map; slots are told apart only behind them, so no exploded row is shuffled. Rows of the
+    history lie on the 15-minute grid.
+    """
+    ahead = F.make_dt_interval(F.lit(days))
+    slot = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(SLOT_MINUTES))
+    series = history.groupBy(*KEYS).agg(
+        F.max("ds").alias("_last"), *[c.alias(n) for n, c in series_statistics().items()]
+    )
+    dates = F.sequence(F.to_date(F.col("_last") + slot), F.to_date(F.col("_last") + ahead))
+    dated = series.withColumn("date", F.explode(dates)).withColumn("dayofweek", F.weekday("date"))
+    cells = interval_profile(with_calendar(history))
+    cell = F.struct("interval_of_day", F.struct(*PROFILE))
+    weekdays = cells.groupBy(*KEYS, "dayofweek").agg(
+        F.map_from_entries(F.collect_list(cell)).alias("_cells")
+    )
+    dated = dated.join(weekdays, [*KEYS, "dayofweek"], "left").drop("dayofweek")
+    dated = dated.withColumn("ds", F.col("date").cast("timestamp_ntz")).drop("date")
+    dated = hol.with_holiday_flag(dated, hol.holiday_dates(holidays, location))
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS_PER_DAY - 1)))
+    rows = dated.withColumn("_slot", slots).withColumn("ds", slot_time(F.col("ds"), F.col("_slot")))
+    rows = rows.filter((F.col("ds") > F.col("_last")) & (F.col("ds") <= F.col("_last") + ahead))
+    own = F.try_element_at("_cells", F.col("_slot"))
+    rows = with_calendar(rows.withColumns({name: own[name] for name in PROFILE}))
+    rows = rows.withColumn("typical_open", typical_open(F.col("interval_zero_rate")))
+    unneeded = ["y_mean", "y_std", "y_zero_rate", "_last", "_slot", "_cells"]
+    return rows.withColumns(_unknown_history()).drop(*unneeded)
+
+
 def future_features(
     future: DataFrame, history: DataFrame, location: DataFrame, holidays: DataFrame
 ) -> DataFrame:
@@ -122,11 +166,5 @@ def future_features(
     """
     df = attach_profile(with_calendar(future), interval_profile(with_calendar(history)))
     df = df.join(series_profile(history), KEYS, "left")
-    columns = {f"lag_{n}_15min": F.col("y_mean") for n in LAGS}
-    columns |= {f"rolling_mean_{n}_15min": F.col("y_mean") for n in ROLLING}
-    columns |= {f"rolling_std_{n}_15min": F.col("y_std") for n in ROLLING}
-    columns["prev_was_zero"] = F.col("y_zero_rate")
-    columns |= {f"zeros_in_last_{n}": F.col("y_zero_rate") * n for n in ZERO_WINDOWS}
-    columns |= {name: F.lit(value) for name, value in FUTURE_WEATHER.items()}
-    df = df.withColumns(columns).drop("y_mean", "y_std", "y_zero_rate")
+    df = df.withColumns(_unknown_history()).drop("y_mean", "y_std", "y_zero_rate")
     return hol.with_holiday_flag(df, hol.holiday_dates(holidays, location))

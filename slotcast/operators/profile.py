@@ -54,11 +54,15 @@ def with_profile(
 
 def series_profile(history: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Mean, deviation and zero rate of each whole series."""
-    return history.groupBy(*keys).agg(
-        F.avg("y").alias("y_mean"),
-        F.stddev_samp("y").alias("y_std"),
-        F.avg(is_zero(F.col("y"))).alias("y_zero_rate"),
-    )
+    return history.groupBy(*keys).agg(*[c.alias(n) for n, c in series_statistics().items()])
+
+
+def series_statistics() -> dict[str, Column]:
+    return {
+        "y_mean": F.avg("y"),
+        "y_std": F.stddev_samp("y"),
+        "y_zero_rate": F.avg(is_zero(F.col("y"))),
+    }
 
 
 def with_zero_rate(df: DataFrame, name: str = "zero_rate", keys: list[str] = KEYS) -> DataFrame:

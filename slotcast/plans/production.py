@@ -16,7 +16,7 @@ from slotcast.operators.clean import (
     task_series,
     without_warmup,
 )
-from slotcast.operators.features import future_features, production_features
+from slotcast.operators.features import future_features, future_frame, production_features
 from slotcast.operators.hierarchy import forecast_grid, start_intervals
 from slotcast.operators.holidays import holiday_dates, holiday_labels, with_holiday_flag
 from slotcast.operators.overwrite import commit_forecasts, replace_actuals, replace_forecasts
@@ -89,7 +89,8 @@ def production_forecast(
         weathered, horizon_days, labels, WEATHER_VALUES, min_rows, with_history
     )
     baseline = materialize(baseline, "baseline")
-    trees = _tree_future(store, weathered, baseline, params, min_tree_rows, keep_warmup)
+    asked = None if with_history else horizon_days
+    trees = _tree_future(store, weathered, baseline, params, min_tree_rows, keep_warmup, asked)
     final = blend.blend_or_baseline(baseline, trees, "yhat_b")
     return final.select("ds", *KEYS, F.col("yhat_final").alias("yhat"))
 
@@ -101,7 +102,9 @@ def _tree_future(
     params: boosted.TreeParams,
     min_rows: int,
     keep_warmup: bool,
+    days: int | None,
 ) -> DataFrame:
+    """Predictions of the trees for ``days`` ahead, or for all timestamps of the baseline."""
     dates = holiday_dates(store.holiday, store.location)
     matrix = with_holiday_flag(with_profile(with_history(with_calendar(history))), dates)
     matrix = long_enough(without_warmup(matrix, keep=keep_warmup), min_rows)
@@ -112,9 +115,12 @@ def _tree_future(
     model = boosted.fit_trees(boosted.with_validation(rows), names, params)
     trained = rows.select(*KEYS).distinct()
     known = history.select("ds", *KEYS, "y").join(trained, KEYS, "left_semi")
-    ahead = baseline.select("ds", *KEYS).join(trained, KEYS, "left_semi")
-    future = future_features(ahead, known, store.location, store.holiday).fillna(0, names)
-    predicted = boosted.predict_trees(model, future, names)
+    if days is None:
+        ahead = baseline.select("ds", *KEYS).join(trained, KEYS, "left_semi")
+        future = future_features(ahead, known, store.location, store.holiday)
+    else:
+        future = future_frame(known, days, store.location, store.holiday)
+    predicted = boosted.predict_trees(model, future.fillna(0, names), names)
     return blend.post_process(predicted, "yhat_b", quiet_rule=False)
 
 
