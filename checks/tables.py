@@ -53,6 +53,58 @@ def _(d):
     return csv_round_trip(d, rows, readers.read_sales)
 
 
+# Every seventh event in a thousand has a time, every eleventh a key, every thirteenth a value
+# that isn't one; every seventeenth lacks a field.
+_SOILED = """(SELECT event_id,
+    CASE WHEN event_id % 1000 = 7 THEN 'noon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ds,
+    CASE WHEN event_id % 1000 IN (7, 11) THEN 'x' || user_id ELSE user_id::VARCHAR END AS location_id,
+    CASE WHEN event_id % 1000 = 13 THEN '1,5' ELSE event_id::VARCHAR END AS y,
+    event_id % 1000 = 17 AS is_short FROM events)"""
+
+
+def _soiled(d):
+    """Sales as CSV text with planted faults, several files."""
+    event = F.col("event_id")
+    part = event % 1000
+    ds = F.when(part == 7, F.lit("noon")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    user = F.col("user_id").cast("string")
+    location = F.when(part.isin(7, 11), F.concat(F.lit("x"), user)).otherwise(user)
+    y = F.when(part == 13, F.lit('"1,5"')).otherwise(event.cast("string"))
+    full = F.concat_ws(",", ds, location, F.lit("1"), F.lit(""), y)
+    line = F.when(part == 17, F.concat_ws(",", ds, location)).otherwise(full)
+    path = new_path(d.spark, "soiled")
+    # One file for each part, which begins with its header.
+    rows = d.table("events").select((event % 4).alias("part"), F.lit(1).alias("rank"), line.alias("value"))
+    head = F.lit(",".join(schemas.SALES.fieldNames()))
+    heads = d.spark.range(4).select(F.col("id").alias("part"), F.lit(0).alias("rank"), head.alias("value"))
+    dealt = rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "rank")
+    dealt.select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@check(
+    "s1_csv_rows_kept",
+    f"""SELECT strptime(ds, '%Y-%m-%d %H:%M:%S') AS ds, location_id::BIGINT AS location_id,
+    1::BIGINT AS sales_type_id, NULL::BIGINT AS department_id, y::DOUBLE AS y FROM {_SOILED}
+    WHERE event_id % 1000 NOT IN (7, 11, 13, 17)""",
+)
+def _(d):
+    return readers.load_csv(d.spark, _soiled(d), schemas.SALES, most_rejected=0.01).rows
+
+
+@check(
+    "s1_csv_rejects",
+    f"""SELECT "column", text, count(*) AS n FROM (
+    SELECT 'ds' AS "column", ds AS text FROM {_SOILED} WHERE event_id % 1000 = 7
+    UNION ALL SELECT 'location_id', location_id FROM {_SOILED} WHERE event_id % 1000 IN (7, 11)
+    UNION ALL SELECT 'y', y FROM {_SOILED} WHERE event_id % 1000 = 13
+    UNION ALL SELECT NULL, ds || ',' || location_id FROM {_SOILED} WHERE is_short) GROUP BY ALL""",
+)
+def _(d):
+    load = readers.load_csv(d.spark, _soiled(d), schemas.SALES, most_rejected=0.01)
+    return load.rejects.groupBy("column", "text").agg(F.count("*").alias("n"))
+
+
 @check("s2_read_weather_csv", f"SELECT postal_code, ds, {WEATHER_SQL} FROM weather")
 def _(d):
     rows = d.weather.select(*schemas.WEATHER.fieldNames())

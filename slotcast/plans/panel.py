@@ -4,7 +4,9 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from slotcast import schemas
 from slotcast.operators.clean import (
     at_location,
     fill_department,
@@ -23,16 +25,29 @@ class Tables:
     location: DataFrame
 
 
-def load_csv_tables(spark: SparkSession, folder: str, location_id: int | None = None) -> Tables:
-    """The input files of an evaluation run, cleaned, optionally for one location."""
-    sales = fill_department(readers.read_sales(spark, f"{folder}/sales.csv"))
+def load_csv_tables(
+    spark: SparkSession,
+    folder: str,
+    location_id: int | None = None,
+    most_rejected: float | None = None,
+) -> Tables:
+    """The input files of an evaluation run, cleaned, optionally for one location.
+
+    A field that doesn't parse fails the read; with ``most_rejected`` its row is set aside, up to
+    that share of each file.
+    """
+
+    def read(name: str, schema: T.StructType) -> DataFrame:
+        path = f"{folder}/{name}.csv"
+        if most_rejected is None:
+            return readers.read_csv(spark, path, schema)
+        return readers.load_csv(spark, path, schema, most_rejected).rows
+
     return Tables(
-        sales=at_location(sales, location_id),
-        weather=readers.read_weather(spark, f"{folder}/weather.csv"),
-        holiday=fix_holiday_windows(readers.read_holidays(spark, f"{folder}/holiday.csv")),
-        location=at_location(
-            readers.read_locations(spark, f"{folder}/locations.csv"), location_id, "id"
-        ),
+        sales=at_location(fill_department(read("sales", schemas.SALES)), location_id),
+        weather=read("weather", schemas.WEATHER),
+        holiday=fix_holiday_windows(read("holiday", schemas.HOLIDAY)),
+        location=at_location(read("locations", schemas.LOCATION_CSV), location_id, "id"),
     )
 
 

@@ -1,32 +1,47 @@
 """Sources. Every reader takes an explicit schema."""
 
 import datetime as dt
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotcast import schemas
 from slotcast.functions.calendar import moment
+from slotcast.sources.storage import materialize, new_path
 
 
-def _parsed(field: T.StructField) -> Column:
-    """A text field as its type. Blank is NULL; what doesn't parse fails the read.
+def _text(field: T.StructField) -> Column:
+    return F.nullif(F.trim(F.col(f"`{field.name}`")), F.lit(""))
+
+
+def _value(field: T.StructField) -> Column:
+    """A text field as its type; NULL where it is blank or doesn't parse.
 
     Whole numbers may have a zero fraction, as other tools write columns with gaps. Timestamps
     may lack seconds, have a fraction, or a ``T`` between date and time.
     """
-    raw = F.nullif(F.trim(F.col(f"`{field.name}`")), F.lit(""))
     if isinstance(field.dataType, T.StringType):
         return F.col(f"`{field.name}`")
-    value = raw.try_cast(field.dataType)
+    value = _text(field).try_cast(field.dataType)
     if isinstance(field.dataType, T.IntegralType):
-        number = raw.try_cast("double")
+        number = _text(field).try_cast("double")
         whole = F.when(number == F.floor(number), number.cast("long"))
         value = F.coalesce(value, whole.try_cast(field.dataType))
-    message = F.concat(F.lit(f"{field.name} can't be read: "), raw)
-    bad = raw.isNotNull() & value.isNull()
-    return F.when(bad, F.raise_error(message)).otherwise(value).alias(field.name)
+    return value
+
+
+def _is_bad(field: T.StructField) -> Column:
+    if isinstance(field.dataType, T.StringType):
+        return F.lit(False)
+    return _text(field).isNotNull() & _value(field).isNull()
+
+
+def _parsed(field: T.StructField) -> Column:
+    """A text field as its type. Blank is NULL; what doesn't parse fails the read."""
+    message = F.concat(F.lit(f"{field.name} can't be read: "), _text(field))
+    return F.when(_is_bad(field), F.raise_error(message)).otherwise(_value(field)).alias(field.name)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -35,6 +50,71 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return raw.select(*[_parsed(f).alias(f.name) for f in schema])
 
 
+class TooManyRejects(ValueError):
+    """A larger share of the rows can't be read than the caller allows."""
+
+
+@dataclass(frozen=True)
+class Load:
+    """Rows that could be read, and the fields and lines that could not."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    n_rows: int
+    n_rejected: int
+
+
+#: Column that Spark puts a line into that doesn't have the expected fields.
+_LINE = "_line"
+
+
+def load_csv(
+    spark: SparkSession, path: str, schema: T.StructType, most_rejected: float = 0.0
+) -> Load:
+    """CSV rows, with those that don't parse set aside instead of ending the run.
+
+    A row is rejected as a whole if a field has text that isn't of its type, or if it has more or
+    fewer fields than the header. ``rejects`` has a row for each such field with the file it is
+    in, its column, its text and the row's texts as JSON; a row of a wrong shape has no column.
+    The files are read once: the texts are written to the shared folder with their verdict, and
+    both counts are observed meanwhile. More than ``most_rejected`` of all rows raise
+    ``TooManyRejects``, after which ``rejects`` can still be read from the path in its message.
+    """
+    names = [f.name for f in schema]
+    texts = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(_LINE, T.StringType())])
+    reader = spark.read.schema(texts).option("header", True).option("mode", "PERMISSIVE")
+    raw = reader.option("columnNameOfCorruptRecord", _LINE).csv(path)
+    faults = F.array(
+        F.when(F.col(_LINE).isNotNull(), F.struct(F.lit(None).cast("string").alias("column"), F.col(_LINE).alias("text"))),
+        *[
+            F.when(
+                F.col(_LINE).isNull() & _is_bad(f),
+                F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("text")),
+            )
+            for f in schema
+        ],
+    )
+    judged = raw.select(
+        *names,
+        F.filter(faults, lambda x: x.isNotNull()).alias("_faults"),
+        F.col("_metadata.file_path").alias("_file"),
+    )
+    seen = Observation()
+    counts = F.count(F.lit(1)).alias("all"), F.count_if(F.size("_faults") > 0).alias("bad")
+    kept = materialize(judged.observe(seen, *counts), "csv-rows")
+    n_rows, n_rejected = seen.get["all"], seen.get["bad"]
+    rows = kept.filter(F.size("_faults") == 0).select(*[_value(f).alias(f.name) for f in schema])
+    fault = F.explode("_faults").alias("x")
+    line = F.to_json(F.struct(*names)).alias("line")
+    rejects = kept.filter(F.size("_faults") > 0).select(F.col("_file").alias("file"), line, fault)
+    rejects = rejects.select("file", "x.column", "x.text", "line")
+    if n_rejected > most_rejected * n_rows:
+        stored = new_path(spark, "csv-rejects")
+        rejects.write.parquet(stored)
+        raise TooManyRejects(f"{n_rejected} of {n_rows} rows of {path} can't be read, see {stored}")
+    return Load(rows, rejects, n_rows, n_rejected)
+
+
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.SALES)
 

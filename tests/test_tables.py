@@ -440,6 +440,33 @@ def test_csv_folder_loads_and_filters(spark, tmp_path):
     assert tables.holiday.filter("lower_window > 0").isEmpty()
 
 
+def test_rows_that_do_not_parse_are_set_aside(spark, tmp_path):
+    folder = tmp_path / "sales"
+    folder.mkdir()
+    head = "ds,location_id,sales_type_id,department_id,y\n"
+    (folder / "a.csv").write_text(head + "2024-01-01 00:00,1,10,,1.5\n,2.0, ,3,x\nno,2.5,1,1,2\n")
+    (folder / "b.csv").write_text(head + "2024-01-01T00:15:00,1,10\n2024-01-01 00:30,1,10,5,2,9\n")
+    (folder / "c.csv").write_text(head + '2024-01-01 00:45,3,30,7,"4"\n')
+    load = readers.load_csv(spark, str(folder), schemas.SALES, most_rejected=0.7)
+    assert (load.n_rows, load.n_rejected) == (6, 4)
+    assert rows_of(load.rows, "location_id", "department_id", "y") == [(1, None, 1.5), (3, 7, 4.0)]
+    bad = {(r.file.rsplit("/", 1)[1], r.column, r.text) for r in load.rejects.collect()}
+    assert bad == {
+        ("a.csv", "y", "x"),
+        ("a.csv", "ds", "no"),
+        ("a.csv", "location_id", "2.5"),
+        ("b.csv", None, "2024-01-01T00:15:00,1,10"),
+        ("b.csv", None, "2024-01-01 00:30,1,10,5,2,9"),
+    }
+    with pytest.raises(readers.TooManyRejects, match="4 of 6 rows") as found:
+        readers.load_csv(spark, str(folder), schemas.SALES, most_rejected=0.5)
+    assert spark.read.parquet(str(found.value).rsplit(" ", 1)[1]).count() == 5
+    empty = tmp_path / "empty.csv"
+    empty.write_text(head)
+    load = readers.load_csv(spark, str(empty), schemas.SALES)
+    assert (load.n_rows, load.n_rejected, load.rows.count()) == (0, 0, 0)
+
+
 def test_jdbc_options_are_parallel():
     options = readers.jdbc_options("jdbc:x", "actual", "ds", "2024-01-01", "2024-02-01", 16)
     assert options["numPartitions"] == "16" and options["partitionColumn"] == "ds"
