@@ -2,8 +2,9 @@
 
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Steps the search may take beyond its first descent; packing is NP-hard.
 SEARCH_STEPS = 4000
-#: First documents tried for the room beside the largest one.
-_TRIED = 48
+#: Steps whose enumerations are kept; those further up are repeated if they are needed again.
+_LIVE = 32
 
 
 @dataclass(frozen=True)
@@ -30,28 +31,13 @@ class Filling:
     repeat: int
 
 
-def _greedy(sizes: list[int], left: dict[int, int], room: int) -> list[int]:
-    """Best fit: again and again the largest size that still fits."""
-    out, used = [], {}
-    at = bisect_right(sizes, room)
-    while at:
-        size = sizes[at - 1]
-        n = min(left[size] - used.get(size, 0), room // size)
-        if n > 0:
-            out += [size] * n
-            used[size] = used.get(size, 0) + n
-            room -= n * size
-        at = min(at - 1, bisect_right(sizes, room))
-    return out
-
-
 def _dominated(filling: list[int], sizes: list[int], left: dict[int, int], room: int) -> bool:
-    """Whether a document left out could take the place of one or two smaller ones."""
+    """Whether a document left out still fits, or could take the place of one or two smaller ones."""
     slack = room - sum(filling)
     used = {s: filling.count(s) for s in filling}
-    joined = [*used] + [a + b for i, a in enumerate(filling[:8]) for b in filling[:i]]
+    joined = [0, *used] + [a + b for i, a in enumerate(filling[:8]) for b in filling[:i]]
     for i, low in enumerate(joined):
-        least = low + (i < len(used))
+        least = low + (i <= len(used))
         at = bisect_right(sizes, low + slack) - 1
         while at >= 0 and sizes[at] >= least:
             if left[sizes[at]] > used.get(sizes[at], 0):
@@ -60,28 +46,68 @@ def _dominated(filling: list[int], sizes: list[int], left: dict[int, int], room:
     return False
 
 
-def _fillings(sizes: list[int], left: dict[int, int], room: int) -> list[list[int]]:
-    """Undominated fillings of ``room``, least waste first, then fewest documents."""
-    found = {tuple(_greedy(sizes, left, room))}
-    at = bisect_right(sizes, room)
-    for first in reversed(sizes[max(0, at - _TRIED) : at]):
-        if not left[first]:
-            continue
-        left[first] -= 1
-        rest = room - first
-        found.add((first, *_greedy(sizes, left, rest)))
-        for second in (rest, rest // 2):
-            if 0 < second and left.get(second, 0) > 0:
-                left[second] -= 1
-                found.add(
-                    tuple(sorted((first, second, *_greedy(sizes, left, rest - second)))[::-1])
-                )
-                left[second] += 1
-        left[first] += 1
-    ranked = sorted(found, key=lambda f: (room - sum(f), len(f), [-s for s in f]))
-    best = [list(f) for f in ranked[:12]]
-    kept = [f for f in best if not _dominated(f, sizes, left, room)]
-    return kept or best[:1]
+def _fillings(
+    sizes: list[int], left: dict[int, int], room: int, allowed: Callable[[], int]
+) -> Iterator[list[int] | None]:
+    """All undominated fillings of ``room``, one after another by waste; None for a dominated one.
+
+    Sums that can be reached with the smaller sizes are kept as bits of a number, so
+    that every branch of the enumeration ends in a filling. Fillings that waste more than
+    ``allowed`` at the time aren't enumerated.
+    """
+    counts = dict(left)
+    usable = [s for s in sizes if s <= room and counts[s]]
+    reach, mask = [1], (1 << (room + 1)) - 1
+    for size in usable:
+        bits, n, step = reach[-1], min(counts[size], room // size), 1
+        while n:
+            step = min(step, n)
+            bits |= bits << size * step
+            n -= step
+            step *= 2
+        reach.append(bits & mask)
+
+    def fill(upto: int, target: int) -> Iterator[list[int]]:
+        if not target:
+            yield []
+            return
+        for i in range(min(upto, bisect_right(usable, target)) - 1, -1, -1):
+            if not reach[i + 1] >> target & 1:
+                return
+            size = usable[i]
+            for n in range(min(counts[size], target // size), 0, -1):
+                if reach[i] >> (target - n * size) & 1:
+                    for rest in fill(i, target - n * size):
+                        yield [size] * n + rest
+
+    for waste in range(room + 1):
+        if waste > allowed():
+            return
+        if reach[-1] >> (room - waste) & 1:
+            for filling in fill(len(usable), room - waste):
+                yield None if _dominated(filling, sizes, counts, room) else filling
+
+
+class _Branch:
+    """What may follow at one step: fillings as often as they go, then less often.
+
+    ``taken`` options have been tried. The enumeration of an upper step may be forgotten, and
+    is done again up to that place if the search comes back to it.
+    """
+
+    def __init__(self, options: Callable[[], Iterator[tuple[list[int], int] | None]]):
+        self.options = options
+        self.live: Iterator | None = None
+        self.taken = 0
+
+    def next(self):
+        """The next option, None for one that isn't worth trying; StopIteration at the end."""
+        if self.live is None:
+            self.live = self.options()
+            for _ in range(self.taken):
+                next(self.live, None)
+        self.taken += 1
+        return next(self.live)
 
 
 def complete_bins(
@@ -89,11 +115,13 @@ def complete_bins(
 ) -> list[Filling]:
     """Fillings that together hold every document of a histogram of sizes.
 
-    Depth-first branch and bound. Each step takes the largest size left, enumerates
-    undominated fillings of the room beside it, and repeats the chosen one as often as the
-    counts allow. A branch ends when its waste alone makes it no better than the best packing
-    so far; the first best-fit descent is the first such packing. The search ends when the
-    packing reaches the bound ``ceil(total / capacity)`` or after ``steps`` steps.
+    Depth-first branch and bound. Each step takes the largest size left and enumerates the
+    undominated fillings of the room beside it by waste; the chosen one is repeated as often as
+    the counts allow, and less often once all are tried. A branch ends when its waste alone makes
+    it no better than the best packing so far; the first descent, which always takes the best fit,
+    is the first such packing. The search ends when the packing reaches the bound
+    ``ceil(total / capacity)``, when it is exhausted, or ``steps`` steps after the first descent;
+    nothing else limits it.
     """
     left = {s: n for s, n in histogram.items() if n > 0}
     if any(s < 1 or s > capacity for s in left):
@@ -105,15 +133,36 @@ def complete_bins(
     best_bins = float("inf")
     path: list[Filling] = []
     open_sizes: list[list[int]] = []
-    choices: list[list[list[int]]] = []
+    choices: list[_Branch] = []
     bins = waste = taken = 0
 
+    def allowed() -> int:
+        """The most waste that one more sequence may have in a better packing."""
+        return capacity if best is None else capacity * (best_bins - 1) - total - waste
+
     def descend() -> None:
-        largest = sizes[-1]
-        left[largest] -= 1
-        options = _fillings(sizes, left, capacity - largest)
-        left[largest] += 1
-        choices.append([[largest, *f] for f in reversed(options)])
+        largest, own = sizes[-1], sizes
+
+        def options() -> Iterator[tuple[list[int], int] | None]:
+            for tried in (False, True):
+                left[largest] -= 1
+                fillings = _fillings(own, left, capacity - largest, allowed)
+                first = next(fillings, None)
+                left[largest] += 1
+                for filling in chain([first], fillings):
+                    if filling is None:
+                        yield None
+                        continue
+                    whole = [largest, *filling]
+                    most = min(left[s] // whole.count(s) for s in whole)
+                    if not tried:
+                        yield whole, most
+                    else:
+                        yield from ((whole, n) for n in range(most - 1, 0, -1))
+
+        choices.append(_Branch(options))
+        if len(choices) > _LIVE:
+            choices[-_LIVE - 1].live = None
 
     def undo() -> None:
         nonlocal bins, waste, sizes
@@ -130,22 +179,24 @@ def complete_bins(
     while choices:
         if best is not None and taken >= steps:
             break
-        if not choices[-1]:
+        taken += best is not None
+        try:
+            option = choices[-1].next()
+        except StopIteration:
             choices.pop()
             if path:
                 undo()
             continue
-        option = choices[-1].pop()
-        need = {s: option.count(s) for s in option}
-        repeat = min(left[s] // n for s, n in need.items())
-        path.append(Filling(tuple(option), repeat))
+        if option is None:
+            continue
+        filling, repeat = option
+        path.append(Filling(tuple(filling), repeat))
         open_sizes.append(sizes)
-        for size, n in need.items():
-            left[size] -= n * repeat
-        sizes = [s for s in sizes if left[s]] if any(not left[s] for s in need) else sizes
+        for size in filling:
+            left[size] -= repeat
+        sizes = [s for s in sizes if left[s]]
         bins += repeat
-        waste += repeat * (capacity - sum(option))
-        taken += best is not None
+        waste += repeat * (capacity - sum(filling))
         # Bins at the end are at least (total + waste) / capacity.
         if -(-(total + waste) // capacity) >= best_bins:
             undo()

@@ -212,6 +212,34 @@ def test_bin_completion_finds_the_optimum():
     assert packing.complete_bins({}) == []
 
 
+def test_perfect_packings_are_found():
+    """Instances cut from full sequences; the search never ends as exhausted above them."""
+    rnd = random.Random(11)
+    for _ in range(200):
+        items, bins = [], rnd.randint(3, 12)
+        for _ in range(bins):
+            room = 1000
+            while room:
+                size = min(room, rnd.randint(rnd.choice([1, max(1, room // 6)]), room))
+                items.append(size)
+                room -= size
+        plan = packing.complete_bins(Counter(items), 1000, steps=100_000)
+        assert sum(f.repeat for f in plan) == bins
+    known = [17, 93, 104, 169, 170, 172, 245, 481, 566, 983]
+    assert sum(f.repeat for f in packing.complete_bins(Counter(known), 1000)) == 3
+
+
+def test_fillings_come_by_waste_and_are_all_there():
+    sizes, left = [2, 3, 5, 9], {2: 3, 3: 1, 5: 2, 9: 1}
+    found = [f for f in packing._fillings(sizes, left, 12, lambda: 12) if f is not None]
+    wastes = [12 - sum(f) for f in found]
+    assert wastes == sorted(wastes) and len({tuple(f) for f in found}) == len(found)
+    # Nothing that was left out fits into an undominated filling.
+    full = {(9, 3), (5, 5, 2), (5, 3, 2, 2)}
+    assert {tuple(f) for f in found if sum(f) == 12} == full
+    assert list(packing._fillings(sizes, left, 12, lambda: -1)) == []
+
+
 def test_packing(docs, nothing, bpe):
     rows = packing.pack(docs, with_ids=True).collect()
     texts = Counter((r.doc_id, r.text) for r in docs.collect())
