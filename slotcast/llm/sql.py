@@ -3,8 +3,8 @@
 _MEASURES = {
     "symbols": ("1000 * n_symbols // n_words", 100, False),
     "word_length": ("1000 * word_chars // n_words", 400, True),
-    "repeats": ("1000 * n_repeat_words // n_words", 100, False),
-    "dup_lines": ("1000 * n_dup_lines // n_lines", 150, False),
+    "repeats": ("1000 * n_repeat_words // n_words", 50, False),
+    "dup_lines": ("1000 * n_dup_lines // n_lines", 100, False),
 }
 
 
