@@ -20,7 +20,8 @@ def _is_letter() -> np.ndarray:
 class Words:
     """The words of some texts: ``row`` and ``which`` of the distinct words each one is.
 
-    Distinct word ``i`` is ``codes[start[i]:end[i]]``.
+    Distinct word ``i`` is ``codes[start[i]:end[i]]``; ``key``, ascending, holds hashes that
+    tell words apart within one process.
     """
 
     codes: np.ndarray
@@ -28,6 +29,7 @@ class Words:
     which: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    key: np.ndarray
 
     def strings(self) -> list[str]:
         text = self.codes.astype("<u4").tobytes().decode("utf-32-le")
@@ -49,10 +51,31 @@ def words(column: pa.Array) -> Words:
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     row = np.searchsorted(offsets, starts, "right") - 1
-    _, where, which = np.unique(
+    key, where, which = np.unique(
         spans.span_hashes(codes, starts, ends, spans.PRIVATE), return_index=True, return_inverse=True
     )
-    return Words(codes, row, which, starts[where], ends[where])
+    return Words(codes, row, which, starts[where], ends[where], key)
+
+
+def some(words: Words, chosen: np.ndarray) -> Words:
+    """The chosen distinct words, in that order and without the rows they stand in."""
+    none = np.zeros(0, np.int64)
+    return Words(words.codes, none, none, words.start[chosen], words.end[chosen], words.key[chosen])
+
+
+def packed(words: Words) -> tuple[str, np.ndarray]:
+    """The distinct words one behind another, and their sizes."""
+    size = words.end - words.start
+    codes = np.ascontiguousarray(words.codes[spans.gather(words.start, size)], "<u4")
+    return codes.tobytes().decode("utf-32-le"), size
+
+
+def unpacked(text: str, size: np.ndarray) -> Words:
+    """What ``packed`` words were, without rows and hashes."""
+    end = np.cumsum(size, dtype=np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    none = np.zeros(0, np.int64)
+    return Words(codes, none, none, end - size, end, none)
 
 
 def flat(words: Words) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ _ALPHABET = 100
 TELLING = 2
 #: Parts of words tell something from this ratio on.
 _LEAST = 2.0
-#: Bytes of text, and different n-grams and contexts, that share one look-up.
+#: Bytes of text, or different n-grams and contexts, that share one look-up.
 _UNIT = 32 << 20
 _UNIT_ENTRIES = 1 << 20
 
@@ -130,37 +130,74 @@ def word_ratios(
     return np.add.reduceat(each, begin[:-1]), np.maximum.reduceat(rise, begin[:-1])
 
 
-def _measures(column: pa.Array, entries: Entries) -> np.ndarray:
-    """Four ratios of each text, a column each.
+@dataclass(frozen=True)
+class Bags:
+    """The words of some texts, without their order: ``row``, ``word`` and how often it stands there.
+
+    Rows ascend, and words within a row.
+    """
+
+    row: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
+
+    @staticmethod
+    def of(words: letters.Words, number: np.ndarray) -> "Bags":
+        """Bags of texts whose distinct words have the given numbers."""
+        word = number[words.which]
+        order = np.lexsort((word, words.row))
+        row, word = words.row[order], word[order]
+        first = np.ones(len(row), bool)
+        first[1:] = (np.diff(row) != 0) | (np.diff(word) != 0)
+        at = np.flatnonzero(first)
+        return Bags(row[at], word[at], np.diff(at, append=len(row)))
+
+    def columns(self, rows: int) -> list[pa.Array]:
+        """A list per text of each of the words' steps, in two parts, and of the times.
+
+        Parts of small numbers take little space when they are compressed.
+        """
+        step = np.diff(self.word, prepend=0)
+        first = np.ones(len(step), bool)
+        first[1:] = np.diff(self.row) != 0
+        step[first] = self.word[first]
+        offsets = pa.array(np.searchsorted(self.row, np.arange(rows + 1)), pa.int64())
+        low, high = (step & 255).astype(np.uint8), (step >> 8).astype(np.int32)
+        parts = [pa.array(low), pa.array(high), pa.array(self.times.astype(np.int32))]
+        return [pa.LargeListArray.from_arrays(offsets, p) for p in parts]
+
+    @staticmethod
+    def read(columns: list[pa.Array]) -> "Bags":
+        low, high, times = (np.asarray(c.flatten()).astype(np.int64) for c in columns)
+        size = np.diff(np.asarray(columns[0].offsets))
+        stop = np.cumsum(size)
+        sums = np.concatenate([[0], np.cumsum(low + (high << 8))])
+        word = sums[1:] - np.repeat(sums[stop - size], size)
+        return Bags(np.repeat(np.arange(len(size)), size), word, times)
+
+
+def _measures(bags: Bags, each: np.ndarray, part: np.ndarray, size: np.ndarray, rows: int):
+    """Four ratios of each text, a column each, from the ratios, telling parts and sizes of words.
 
     Per word of its most telling words; per letter of the whole text; over the square
     root of the letters, which is the size chance gives to the sum; and in the same way of
     the telling parts of its words.
     """
-    rows = len(column)
-    words = letters.words(column)
-    each, parts = (x[words.which] for x in word_ratios(words, entries))
-    size = (words.end - words.start)[words.which] + 1
-    total = np.bincount(words.row, each, rows)
-    count = np.maximum(np.bincount(words.row, size, rows), 1)
-    order = np.lexsort((-each, words.row))
-    row = words.row[order]
-    n = np.bincount(words.row, minlength=rows)
-    top = np.arange(len(row)) - (np.cumsum(n) - n)[row] < TELLING
-    peak = np.bincount(row[top], each[order][top], rows) / TELLING
-    telling = np.bincount(words.row, np.maximum(parts - _LEAST, 0), rows) / np.sqrt(
-        np.maximum(n, 1)
-    )
+    row, times, ratio = bags.row, bags.times, each[bags.word]
+    total = np.bincount(row, times * ratio, rows)
+    count = np.maximum(np.bincount(row, times * (size[bags.word] + 1), rows), 1)
+    n = np.bincount(row, times, rows)
+    order = np.lexsort((-ratio, row))
+    top, copies = row[order], times[order]
+    before = np.cumsum(copies) - copies - (np.cumsum(n) - n)[top]
+    copies = np.clip(TELLING - before, 0, copies)
+    peak = np.bincount(top, copies * ratio[order], rows) / TELLING
+    telling = np.bincount(row, times * np.maximum(part - _LEAST, 0)[bags.word], rows)
+    telling /= np.sqrt(np.maximum(n, 1))
     peak = np.clip(peak, -10, 30)
     return np.stack([peak, total / count, total / np.sqrt(count), telling], axis=1)
 
 
-def _all_measures(column: pa.Array, entries: Entries) -> np.ndarray:
-    _, offsets = spans.utf8(column)
-    parts = [_measures(column.slice(a, b - a), entries) for a, b in spans.slices(offsets)]
-    return np.concatenate([np.zeros((0, 4)), *parts])
-
-
 def _probability(measures: np.ndarray, weights: tuple[float, ...], intercept: float) -> np.ndarray:
     if not weights:
         return np.zeros(len(measures))
@@ -354,75 +391,129 @@ def fit(
     return replace(model, weights=tuple(fitted.coefficients), intercept=fitted.intercept)
 
 
-def _in_units(docs: DataFrame, text: str) -> DataFrame:
-    """``rows``, compressed Arrow batches, of each ``unit``, and the ``far`` and ``entry`` it needs.
+class _Lexicon:
+    """The distinct words of a unit, numbered as they come, and the entries they need."""
+
+    def __init__(self) -> None:
+        self.key = np.zeros(0, np.uint64)
+        self.number = np.zeros(0, np.int64)
+        self.needed = [np.zeros(0, np.uint64)] * 2
+        self.texts: list[str] = []
+        self.sizes: list[np.ndarray] = []
+
+    def add(self, words: letters.Words) -> np.ndarray:
+        """Numbers of the distinct words."""
+        at = np.searchsorted(self.key, words.key)
+        known = at < len(self.key)
+        known[known] = self.key[at[known]] == words.key[known]
+        new = np.flatnonzero(~known)
+        number = np.empty(len(known), np.int64)
+        number[known] = self.number[at[known]]
+        # Words that stand early are likely to be common and get small numbers.
+        new_by_place = new[np.argsort(words.start[new])]
+        number[new_by_place] = len(self.key) + np.arange(len(new))
+        self.key = np.insert(self.key, at[new], words.key[new])
+        self.number = np.insert(self.number, at[new], number[new])
+        if len(new):
+            added = letters.some(words, new_by_place)
+            needed = _needed(added)
+            self.needed = [np.union1d(a, b) for a, b in zip(self.needed, needed, strict=True)]
+            text, size = letters.packed(added)
+            self.texts.append(text)
+            self.sizes.append(size)
+        return number
+
+    def batch(self) -> pa.RecordBatch:
+        size = np.concatenate([np.zeros(0, np.int64), *self.sizes]).astype(np.int32)
+        columns = [pa.array(["".join(self.texts)], pa.large_string()), pa.array([size])]
+        return pa.RecordBatch.from_arrays(columns, names=["text", "size"])
+
+
+def _compressed(batch: pa.RecordBatch) -> bytes:
+    sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+#: What a row of a unit holds: an entry, all its words, or some rows with their bags of words.
+_ENTRY, _LEXICON, _ROWS = range(3)
+
+
+def _in_units(docs: DataFrame, text: str, keep: list[int]) -> DataFrame:
+    """The entries that each ``unit`` needs, its words, and its rows with their bags of words.
 
     A unit is some texts of one task: about ``_UNIT`` bytes, or fewer with ``_UNIT_ENTRIES``
-    entries, or one longer text.
+    entries, or one longer text. Of the rows it has the columns ``keep``.
     """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, size = TaskContext.get().partitionId() << 32, 0
-        needed = [np.zeros(0, np.uint64)] * 2
+        unit, size, lexicon = TaskContext.get().partitionId() << 32, 0, _Lexicon()
 
-        def out(columns: list[pa.Array]) -> pa.RecordBatch:
-            own = pa.array(np.full(len(columns[0]), unit, np.int64))
-            return pa.RecordBatch.from_arrays([own, *columns], names=["unit", "far", "entry", "rows"])
+        def out(kind: int, far: pa.Array, entry: pa.Array, rows: pa.Array) -> pa.RecordBatch:
+            own = [pa.array(np.full(len(far), unit)), pa.array(np.full(len(far), kind, np.int32))]
+            names = ["unit", "kind", "far", "entry", "rows"]
+            return pa.RecordBatch.from_arrays([*own, far, entry, rows], names=names)
 
-        def packed(part: pa.RecordBatch) -> pa.RecordBatch:
-            sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression="zstd")
-            with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
-                writer.write_batch(part)
-            rows = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-            return out([pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), rows])
+        def one(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = pa.array([_compressed(batch)], pa.binary())
+            return out(kind, pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), rows)
 
-        def entries() -> pa.RecordBatch:
-            far, entry = map(pa.array, _wanted(needed))
-            return out([far, entry, pa.nulls(len(far), pa.binary())])
+        def end() -> Iterator[pa.RecordBatch]:
+            yield one(_LEXICON, lexicon.batch())
+            far, entry = map(pa.array, _wanted(lexicon.needed))
+            yield out(_ENTRY, far, entry, pa.nulls(len(far), pa.binary()))
 
         for batch in batches:
             _, offsets = spans.utf8(batch.column(at))
             for low, high in spans.slices(offsets):
                 part = batch.slice(low, high - low)
-                yield packed(part)
-                new = _needed(letters.words(part.column(at)))
-                needed = [np.union1d(a, b) for a, b in zip(needed, new, strict=True)]
+                words = letters.words(part.column(at))
+                bags = Bags.of(words, lexicon.add(words)).columns(len(part))
+                columns = [*(part.column(i) for i in keep), *bags]
+                yield one(_ROWS, pa.RecordBatch.from_arrays(columns, names=[*map(str, range(len(columns)))]))
                 size += int(offsets[high] - offsets[low]) + 8 * len(part)
-                if size >= _UNIT or sum(map(len, needed)) >= _UNIT_ENTRIES:
-                    yield entries()
-                    unit, size, needed = unit + 1, 0, [np.zeros(0, np.uint64)] * 2
+                if size >= _UNIT or sum(map(len, lexicon.needed)) >= _UNIT_ENTRIES:
+                    yield from end()
+                    unit, size, lexicon = unit + 1, 0, _Lexicon()
         if size:
-            yield entries()
+            yield from end()
 
-    return docs.mapInArrow(run, "unit long, far boolean, entry long, rows binary")
+    return docs.mapInArrow(run, "unit long, kind int, far boolean, entry long, rows binary")
 
 
 def _with_measures(
     docs: DataFrame,
     text: str,
+    keep: list[str],
     model: Model,
     result: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch],
     schema: str | StructType,
 ) -> DataFrame:
-    """``result`` of rows and the measures of their texts.
+    """``result`` of the columns ``keep`` and the measures of the texts.
 
-    Rows go to the task that gets the ratios their unit needs. An n-gram is asked for once a
-    unit, so common ones are as rare in the join as others.
+    Bags of words go to the task that gets the ratios their unit needs, and texts only if they
+    are kept. An n-gram is asked for once a unit, so common ones are as rare in the join as
+    others.
     """
-    units = materialize(_in_units(docs, text), "units")
-    at = docs.columns.index(text)
-    wanted = units.filter(F.col("entry").isNotNull()).select("unit", "far", "entry")
+    units = materialize(_in_units(docs, text, [docs.columns.index(c) for c in keep]), "units")
+    wanted = units.filter(F.col("kind") == _ENTRY).select("unit", "far", "entry")
     # The table grows with the documents, so it is never broadcast, however small it is.
     found = wanted.join(model.ratios.hint("merge"), ["far", "entry"]).select(
-        "unit", F.lit(0).alias("kind"), "far", "entry", "ratio", F.lit(None).cast("binary").alias("rows")
+        "unit", F.lit(_ENTRY).alias("kind"), "far", "entry", "ratio", F.lit(None).cast("binary").alias("rows")
     )
-    rows = units.filter(F.col("rows").isNotNull()).select(
-        "unit", F.lit(1).alias("kind"), "far", "entry", F.lit(None).cast("float").alias("ratio"), "rows"
+    rows = units.filter(F.col("kind") != _ENTRY).select(
+        "unit", "kind", "far", "entry", F.lit(None).cast("float").alias("ratio"), "rows"
     )
 
+    def opened(rows: pa.Array) -> Iterator[pa.RecordBatch]:
+        for packed in rows:
+            with pa.ipc.open_stream(packed.as_buffer()) as reader:
+                yield from reader
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, parts, entries = None, [], None
+        unit, parts, ratios = None, [], ()
         for batch in batches:
             units, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             change = np.flatnonzero((np.diff(units) != 0) | (np.diff(kinds) != 0)) + 1
@@ -432,17 +523,22 @@ def _with_measures(
                     continue
                 part = batch.slice(a, b - a)
                 if units[a] != unit:
-                    unit, parts, entries = units[a], [], None
-                if kinds[a] == 0:
+                    unit, parts = units[a], []
+                if kinds[a] == _ENTRY:
                     parts.append([np.asarray(part.column(i)) for i in (2, 3, 4)])
                     continue
-                if entries is None:
+                if kinds[a] == _LEXICON:
                     none = [np.zeros(0, t) for t in (bool, np.int64, np.float32)]
                     entries = _entries(*map(np.concatenate, zip(none, *parts, strict=True)))
-                for packed in part.column(5):
-                    with pa.ipc.open_stream(packed.as_buffer()) as reader:
-                        for own in reader:
-                            yield result(own, _all_measures(own.column(at), entries))
+                    (lexicon,) = opened(part.column(5))
+                    size = np.asarray(lexicon.column(1).flatten()).astype(np.int64)
+                    words = letters.unpacked(lexicon.column(0)[0].as_py(), size)
+                    ratios, parts = (*word_ratios(words, entries), size), []
+                    continue
+                for own in opened(part.column(5)):
+                    measures = _measures(Bags.read(own.columns[-3:]), *ratios, len(own))
+                    columns = pa.RecordBatch.from_arrays(own.columns[:-3], names=keep)
+                    yield result(columns, measures)
 
     dealt = found.unionByName(rows).repartition("unit").sortWithinPartitions("unit", "kind")
     return dealt.mapInArrow(run, schema)
@@ -454,7 +550,7 @@ def _measured(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([rows.column(0), lists], names=["k", "measures"])
 
     schema = f"k {docs.schema[key].dataType.simpleString()}, measures array<double>"
-    return _with_measures(docs.select(key, text), text, model, result, schema)
+    return _with_measures(docs.select(key, text), text, [key], model, result, schema)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -479,7 +575,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         )
 
     schema = f"k {docs.schema[key].dataType.simpleString()}, score double, predicted int, ratio double"
-    found = _with_measures(docs.select(key, text), text, model, result, schema)
+    found = _with_measures(docs.select(key, text), text, [key], model, result, schema)
     return found.withColumnRenamed("k", key)
 
 
@@ -490,7 +586,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def result(rows: pa.RecordBatch, measures: np.ndarray) -> pa.RecordBatch:
         return rows.filter(pa.array(_probability(measures, weights, intercept) < 0.5))
 
-    return _with_measures(docs, text, model, result, docs.schema)
+    return _with_measures(docs, text, docs.columns, model, result, docs.schema)
 
 
 def judge(

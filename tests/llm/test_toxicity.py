@@ -132,6 +132,29 @@ def test_no_ratio_is_left_out(spark):
         assert r.ratio == pytest.approx(sum(own) / (11 * len(own)), abs=1e-4)
 
 
+def test_measures_of_bags_are_those_of_the_words():
+    rng = np.random.default_rng(5)
+    lexicon = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "uvwxyzäßя"] * 2
+    texts = [" ".join(rng.choice(lexicon, n)) for n in (1, 2, 0, 700, 30)] + [None, "aa aa 1 aa", "", "b"]
+    unit, got = toxicity._Lexicon(), []
+    for part in (texts[:4], texts[4:]):  # the second part meets known and new words
+        words = letters.words(pa.array(part, pa.string()))
+        columns = toxicity.Bags.of(words, unit.add(words)).columns(len(part))
+        got.append((toxicity.Bags.read(columns), len(part)))
+    text, size = unit.batch().columns
+    size = np.asarray(size.flatten()).astype(np.int64)
+    known = letters.unpacked(text[0].as_py(), size).strings()
+    assert len(set(known)) == len(known) == len(size)
+    each, part = rng.normal(size=(2, len(known))).round(1) * 4  # with ties
+    found = np.concatenate([toxicity._measures(b, each, part, size, n) for b, n in got])
+    for text, row in zip(texts, found, strict=True):
+        at = [known.index(w) for w in "".join(c if c.isalpha() else " " for c in text or "").split()]
+        total, count = sum(each[at]), max(sum(len(known[i]) + 1 for i in at), 1)
+        peak = sum(sorted(each[at])[-2:]) / 2
+        telling = sum(max(part[i] - 2, 0) for i in at) / math.sqrt(max(len(at), 1))
+        assert row == pytest.approx([np.clip(peak, -10, 30), total / count, total / math.sqrt(count), telling])
+
+
 def test_hashes_end_at_the_word():
     words = letters.words(pa.array(["ab xab"]))
     codes, begin = letters.flat(words)
