@@ -71,11 +71,11 @@ def packed(words: Words) -> tuple[str, np.ndarray]:
 
 
 def unpacked(text: str, size: np.ndarray) -> Words:
-    """What ``packed`` words were, without rows and hashes."""
+    """What ``packed`` words were, without rows, and with keys of zero."""
     end = np.cumsum(size, dtype=np.int64)
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
     none = np.zeros(0, np.int64)
-    return Words(codes, none, none, end - size, end, none)
+    return Words(codes, none, none, end - size, end, np.zeros(len(size), np.uint64))
 
 
 def flat(words: Words) -> tuple[np.ndarray, np.ndarray]:

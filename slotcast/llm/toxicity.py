@@ -27,6 +27,8 @@ _LEAST = 2.0
 #: Bytes of text, or different n-grams and contexts, that share one look-up.
 _UNIT = 32 << 20
 _UNIT_ENTRIES = 1 << 20
+#: Words that are rated at a time.
+_BLOCK = 1 << 14
 
 
 def fold(key: Column, folds: int = 5) -> Column:
@@ -533,7 +535,12 @@ def _with_measures(
                     (lexicon,) = opened(part.column(5))
                     size = np.asarray(lexicon.column(1).flatten()).astype(np.int64)
                     words = letters.unpacked(lexicon.column(0)[0].as_py(), size)
-                    ratios, parts = (*word_ratios(words, entries), size), []
+                    blocks = [
+                        word_ratios(letters.some(words, np.arange(a, min(a + _BLOCK, len(size)))), entries)
+                        for a in range(0, len(size), _BLOCK)
+                    ]
+                    each, telling = map(np.concatenate, zip((np.zeros(0),) * 2, *blocks, strict=True))
+                    ratios, parts = (each, telling, size), []
                     continue
                 for own in opened(part.column(5)):
                     measures = _measures(Bags.read(own.columns[-3:]), *ratios, len(own))
