@@ -4,6 +4,7 @@ Words are maximal runs of bytes other than space and ``\\x09-\\x0D``; in UTF-8
 no such byte is part of a longer character. Null texts count as empty.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import xxhash
 
 #: Texts are handled in slices of about this many bytes, which bounds memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -46,14 +47,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[low:high], bounds - low
 
 
+def release() -> None:
+    """Give free memory back to the system, which workers would keep for the executor's life."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in some C libraries
+    if trim is not None:
+        trim(0)
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes each, or of one longer row."""
+    """Row ranges of at most ``most`` bytes each, or of one longer row.
+
+    Behind the last one free memory goes back to the system.
+    """
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
         last = min(max(last, first + 1), rows)
         yield first, last
         first = last
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
