@@ -109,6 +109,21 @@ def personalised_rank(
     return ranks
 
 
+def distrust_of_links(links: DataFrame, known: DataFrame, damping: float = 0.85) -> DataFrame:
+    """``host`` and ``per_link``: how far the hosts that its links lead to are distrusted.
+
+    A link counts from 0 to 1, by the ``distrust`` of its target (``known``, with ``pages``)
+    over what it would be if all of the target's pages were seeds.
+    """
+    share = F.least(F.col("distrust") / ((1 - damping) * F.col("pages")), F.lit(1.0))
+    targets = known.select(F.col("host").alias("dst"), share.alias("share"))
+    return (
+        links.join(targets, "dst", "left")
+        .groupBy(F.col("src").alias("host"))
+        .agg((F.sum(F.col("n") * F.coalesce("share", F.lit(0.0))) / F.sum("n")).alias("per_link"))
+    )
+
+
 def judge_urls(
     pages: DataFrame,
     rules: list[Rule],
@@ -117,6 +132,7 @@ def judge_urls(
     html: str = "html",
     damping: float = 0.85,
     threshold: float = 0.5,
+    link_threshold: float = 0.25,
     rounds: int = 30,
 ) -> DataFrame:
     """Judge every url by the longest rule that fits, else by what is known of its host.
@@ -124,7 +140,9 @@ def judge_urls(
     A host's seed mass is its number of pages that a rule allows or blocks. Trust runs along the
     links from allowed seeds, distrust against them from blocked ones: who links to blocked
     hosts is distrusted. Without a rule, a url is blocked if its host has more distrust than
-    trust and, per page, distrust of ``threshold`` times what a blocked page gives.
+    trust (equal ones are allowed) and either a share of ``threshold`` of blocked pages, or links
+    that by ``distrust_of_links`` are worth ``link_threshold`` on average. So neither the number
+    of the host's pages nor that of other hosts with the same links matters.
 
     Urls that are null or have no ``://`` have an empty host and path and are allowed, having
     neither rule nor links. Rows with equal or null keys are judged on their own. Other
@@ -162,8 +180,12 @@ def judge_urls(
         .join(spread(back, "blocked", "distrust"), "host", "left")
         .fillna(0.0, ["trust", "distrust"])
     )
-    least = threshold * (1 - damping) * F.col("pages")
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
+    known = materialize(known, "host-ranks")
+    known = known.join(distrust_of_links(links, known, damping), "host", "left")
+    bad = (F.col("distrust") > F.col("trust")) & (
+        (F.col("blocked") >= threshold * F.col("pages"))
+        | (F.coalesce("per_link", F.lit(0.0)) >= link_threshold)
+    )
     known = known.select("host", "trust", "distrust", bad.alias("bad"))
     ruled = F.when(block, "block").when(F.col("rule").isNotNull(), "allow")
     by_host = F.when(F.col("bad"), "block").otherwise("allow")

@@ -299,6 +299,26 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     assert {i for i, r in got.items() if r.verdict == "block"} == {3, 4, 5, 6, 7, 9}
 
 
+@pytest.mark.parametrize("farm", [1, 2, 5])
+@pytest.mark.parametrize("size", [1, 40])
+def test_farms_are_blocked_whatever_their_pages(spark, farm, size):
+    """Hosts that link only to a blocked one; a host with one such link of ten isn't blocked."""
+    hosts = [f"farm{i}.org" for i in range(farm)]
+    links = [(h, "bad.net") for h in hosts for _ in range(size)]
+    links += [("bad.net", f"shop{i}.org") for i in range(20)]
+    links += [("blog.org", t) for t in ("bad.net", *(f"shop{i}.org" for i in range(9)))]
+    links += [(f"shop{i}.org", "nowhere.org") for i in range(20)]
+    links += [("good.com", "trusted.org")] * 50 + [("trusted.org", "bad.net")]
+    pages = [
+        (i, f"http://{a}{'/es/' if a == 'bad.net' else '/'}", f'<a href="//{b}/">')
+        for i, (a, b) in enumerate(links)
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdicts = {(r.host, r.verdict) for r in host_trust.judge_urls(df, RULES).collect()}
+    blocked = {h for h, v in verdicts if v == "block"}
+    assert blocked == {"bad.net", *hosts}
+
+
 PAGES = [
     (5, "http://a/", "same"), (3, "http://b/\r\nX: y", "same"), (9, None, "same"),
     (7, "http://c/", "größe\r\n\r\n" * 50), (8, "http://d/", None), (2, "http://e/", ""),
