@@ -6,8 +6,6 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -368,6 +366,10 @@ def fit(
     their counts and back off to one distribution, made of the counts of both, so a rare
     expression says little about a class. All ratios stay in a table.
     """
+    # Only the driver needs these; workers that import this module do without their 30 MB.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
     known = (
         labels.filter(F.col(label).isNotNull())
         .groupBy(F.col(key).alias("k"))
