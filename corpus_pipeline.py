@@ -6,9 +6,19 @@ from pyspark.sql import functions as F
 from slotcast.llm import jaccard, packing, quality, toxicity
 from slotcast.sources.storage import materialize
 
+#: Whole texts go to Python in Arrow batches of at most this size, or of one longer text. Ten
+#: thousand rows would be some 30 MB, which stand several times in each task's direct memory.
+BATCH_BYTES = "4m"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """For the session, as what a stage returns runs after the stage's function has ended."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models don't find toxic."""
+    _bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     part = toxicity.fold(F.col("doc_id"))
     return toxicity.clean(docs, toxicity.fit(docs, labels, part.isin(1, 2, 3), part == 4))
@@ -16,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the quality limits of their language and source."""
+    _bound_batches(spark)
     return quality.clean(docs)
 
 
@@ -24,11 +35,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts link if four fifths of their shingles of five words are the same.
     """
+    _bound_batches(spark)
     return jaccard.first_of_each(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document left, as pieces of sequences of 1024 tokens."""
+    _bound_batches(spark)
     return packing.pack(docs)
 
 
