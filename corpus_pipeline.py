@@ -9,11 +9,15 @@ from slotcast.sources.storage import materialize
 #: Whole texts go to Python in Arrow batches of at most this size, or of one longer text. Ten
 #: thousand rows would be some 30 MB, which stand several times in each task's direct memory.
 BATCH_BYTES = "4m"
+#: Rows that a Parquet reader decodes at a time. Arrays for 4,096 whole texts take many megabytes
+#: each, which the heap has to place as a whole, and it grows for them.
+READ_ROWS = "512"
 
 
 def _bound_batches(spark: SparkSession) -> None:
     """For the session, as what a stage returns runs after the stage's function has ended."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
