@@ -681,8 +681,8 @@ def _(d):
         WHERE h.ds = p.ds::DATE) THEN 1 ELSE 0 END AS is_holiday FROM panel p""",
 )
 def _(d):
-    dates = hol.holiday_dates(d.holiday, d.location)
-    return hol.with_holiday_flag(d.panel, dates).select("ds", *KEYS, "is_holiday")
+    dates = hol.holiday_dates(d.holiday, by_corporation=True)
+    return hol.with_holiday_flag(d.panel, dates, d.location).select("ds", *KEYS, "is_holiday")
 
 
 @check(
@@ -819,8 +819,8 @@ def _(d):
 )
 def _(d):
     future = gapfill.future_slots(d.panel, HORIZON_DAYS)
-    dates = hol.holiday_dates(d.holiday, d.location, windows=True)
-    return hol.with_holiday_flag(future, dates).select("ds", *KEYS, "is_holiday")
+    dates = hol.holiday_dates(d.holiday, windows=True, by_corporation=True)
+    return hol.with_holiday_flag(future, dates, d.location).select("ds", *KEYS, "is_holiday")
 
 
 _DAILY_JOIN = "panel p JOIN location l ON l.id = p.location_id LEFT JOIN weather_daily w"

@@ -61,7 +61,8 @@ def feature_matrix(
     """
     # The joins come first: they would shuffle far wider rows after the windows.
     scope = location if holiday_scope == "corporation" else None
-    df = hol.with_holiday_flag(panel, hol.holiday_dates(holidays, scope))
+    dates = hol.holiday_dates(holidays, by_corporation=scope is not None)
+    df = hol.with_holiday_flag(panel, dates, scope)
     df = with_calendar(wx.with_hourly_weather(wx.with_postal_code(df, location), weather))
     if chunk_rows is None:
         df = with_history(df)
@@ -145,7 +146,8 @@ def future_frame(
     )
     dated = dated.join(weekdays, [*KEYS, "dayofweek"], "left").drop("dayofweek")
     dated = dated.withColumn("ds", F.col("date").cast("timestamp_ntz")).drop("date")
-    dated = hol.with_holiday_flag(dated, hol.holiday_dates(holidays, location))
+    dates = hol.holiday_dates(holidays, by_corporation=True)
+    dated = hol.with_holiday_flag(dated, dates, location)
     slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS_PER_DAY - 1)))
     rows = dated.withColumn("_slot", slots).withColumn("ds", slot_time(F.col("ds"), F.col("_slot")))
     rows = rows.filter((F.col("ds") > F.col("_last")) & (F.col("ds") <= F.col("_last") + ahead))
@@ -167,4 +169,4 @@ def future_features(
     df = attach_profile(with_calendar(future), interval_profile(with_calendar(history)))
     df = df.join(series_profile(history), KEYS, "left")
     df = df.withColumns(_unknown_history()).drop("y_mean", "y_std", "y_zero_rate")
-    return hol.with_holiday_flag(df, hol.holiday_dates(holidays, location))
+    return hol.with_holiday_flag(df, hol.holiday_dates(holidays, by_corporation=True), location)

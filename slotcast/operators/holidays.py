@@ -1,7 +1,8 @@
 """Holiday expansion and flags.
 
 Holiday tables are left to Spark's own size check: it broadcasts them when the
-measured size allows and shuffles otherwise.
+measured size allows and shuffles otherwise. Flags are looked up by corporation,
+as locations times holidays may be far more rows than the flagged ones.
 """
 
 from pyspark.sql import DataFrame
@@ -27,27 +28,67 @@ def holiday_days(holidays: DataFrame) -> DataFrame:
     )
 
 
+def location_scopes(location: DataFrame) -> DataFrame:
+    """One row per location with the sorted array of its corporations, nearly always one.
+
+    The locations are dealt out before they are grouped: a file of many is one split, and a
+    group's set takes more memory than its row. They are merged into joins, as the file's size,
+    by which Spark would broadcast them, is far below that of their rows.
+    """
+    places = location.select(F.col("id").alias("location_id"), "corporation_id")
+    corporations = F.sort_array(F.collect_set("corporation_id")).alias("_scope")
+    return places.repartition("location_id").groupBy("location_id").agg(corporations).hint("merge")
+
+
+def scope_dates(scopes: DataFrame, dates: DataFrame) -> DataFrame:
+    """Distinct dates of each distinct set of corporations; ``dates`` has those of a corporation."""
+    members = scopes.select("_scope").distinct().select(
+        "_scope", F.explode("_scope").alias("corporation_id")
+    )
+    return members.join(dates, "corporation_id").select("_scope", "date").distinct()
+
+
 def holiday_dates(
-    holidays: DataFrame, location: DataFrame | None = None, windows: bool = False
+    holidays: DataFrame,
+    location: DataFrame | None = None,
+    windows: bool = False,
+    by_corporation: bool = False,
 ) -> DataFrame:
-    """Distinct holiday dates: per location, or of any corporation without ``location``."""
+    """Distinct holiday dates: per location, per corporation, or else of any corporation.
+
+    Those per location are locations times dates; to flag rows, take those per corporation.
+    """
     if windows:
         dated = holiday_days(holidays)
     else:
         dated = holidays.withColumn("date", F.to_date("ds"))
-    if location is None:
+    if location is None and not by_corporation:
         return dated.select("date").distinct()
-    return location_holidays(location, dated).select("location_id", "date").distinct()
+    dates = dated.select("corporation_id", "date").distinct()
+    if location is None:
+        return dates
+    scopes = location_scopes(location)
+    return scopes.join(scope_dates(scopes, dates), "_scope").select("location_id", "date")
 
 
-def with_holiday_flag(df: DataFrame, dates: DataFrame) -> DataFrame:
-    """Add ``is_holiday``; ``dates`` is distinct, so no row is duplicated."""
-    on = [c for c in ("location_id", "date") if c in dates.columns]
+def with_holiday_flag(
+    df: DataFrame, dates: DataFrame, location: DataFrame | None = None
+) -> DataFrame:
+    """Add ``is_holiday``; ``dates`` is distinct, so no row is duplicated.
+
+    With ``location`` the ``dates`` are those per corporation, and the rows look up their
+    location's corporations, so that locations never meet the dates of rows they don't have.
+    """
+    df = df.withColumn("date", F.to_date("ds"))
+    if location is not None:
+        scopes = location_scopes(location)
+        dates = scope_dates(scopes, dates)
+        df = df.join(scopes, "location_id", "left")
+    on = [c for c in ("location_id", "_scope", "date") if c in dates.columns]
     return (
-        df.withColumn("date", F.to_date("ds"))
-        .join(dates.withColumn("is_holiday", F.lit(1)), on, "left")
+        df.join(dates.withColumn("is_holiday", F.lit(1)), on, "left")
         .withColumn("is_holiday", F.coalesce("is_holiday", F.lit(0)))
-        .drop("date")
+        .drop("date", "_scope")
     )
 
 

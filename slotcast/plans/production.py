@@ -105,8 +105,9 @@ def _tree_future(
     days: int | None,
 ) -> DataFrame:
     """Predictions of the trees for ``days`` ahead, or for all timestamps of the baseline."""
-    dates = holiday_dates(store.holiday, store.location)
-    matrix = with_holiday_flag(with_profile(with_history(with_calendar(history))), dates)
+    dates = holiday_dates(store.holiday, by_corporation=True)
+    matrix = with_profile(with_history(with_calendar(history)))
+    matrix = with_holiday_flag(matrix, dates, store.location)
     matrix = long_enough(without_warmup(matrix, keep=keep_warmup), min_rows)
     rows, names = production_features(materialize(matrix, "matrix"), keep_warmup=True)
     rows = materialize(rows, "features")

@@ -5,6 +5,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import checks.tables  # noqa: F401
+from checks.registry import QUERIES
 from slotcast import schemas
 from slotcast.operators import blend, clean, evaluate, gapfill, hierarchy, overwrite, publish
 from slotcast.operators import holidays as hol
@@ -144,6 +146,52 @@ def test_holiday_windows_and_labels(spark):
     ]
 
 
+def test_location_of_two_corporations_is_flagged_once(spark, sales):
+    """Repeated and null ids and corporations neither duplicate rows nor lose a date."""
+    places = [(1, 1, "x"), (1, 2, "y"), (1, 1, "x"), (2, None, "y"), (3, 3, "z"), (None, 1, "n")]
+    places = spark.createDataFrame(places, schemas.LOCATION_CSV)
+    rows = [(at(24 * day), location, 10, 0, 1.0) for location in (1, 2, 9, None) for day in (0, 1, 2)]
+    dates = hol.holiday_dates(holidays(spark), by_corporation=True)
+    got = hol.with_holiday_flag(sales(rows), dates, places).na.fill(-1, ["location_id"])
+    assert rows_of(got, "location_id", "ds", "is_holiday") == sorted(
+        (-1 if location is None else location, at(24 * day), int(location == 1 and day < 2))
+        for location in (1, 2, 9, None) for day in (0, 1, 2)
+    )
+    own = hol.holiday_dates(holidays(spark), places).na.fill(-1)
+    assert rows_of(own, "location_id", "date") == [(-1, D1), (1, D1), (1, D2)]
+
+
+def most_rows(df):
+    """Rows that the largest step of the query puts out."""
+    df.collect()
+    steps, most = [df._jdf.queryExecution().executedPlan()], 0
+    while steps:
+        step = steps.pop()
+        found = step.metrics().get("numOutputRows")
+        most = max(most, found.get().value() if found.isDefined() else 0)
+        kind = step.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            steps.append(step.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            steps.append(step.plan())
+        steps += [step.children().apply(i) for i in range(step.children().size())]
+    return most
+
+
+def test_future_holidays_make_no_dates_of_unneeded_locations(spark, tmp_path):
+    """One location has a future of 17,280 slots, 20,000 share a corporation with 13 days."""
+    key = (5 * F.col("id")).alias("c_custkey")
+    customers = spark.range(20_000).select(key, F.lit(1).alias("c_nationkey"))
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    events = [(at(10), 1.0, "view", 5, '{"k": 1}')]
+    columns = "ts timestamp_ntz, value double, event_type string, user_id long, props string"
+    spark.createDataFrame(events, columns).write.parquet(f"{tmp_path}/events.parquet")
+    future = QUERIES["j14_future_holidays"](spark, str(tmp_path))
+    assert most_rows(future) <= 20_000
+    # From 10:15 of the holiday, whose windows end two days later.
+    assert rows_of(future.groupBy("is_holiday").count(), "*") == [(0, 17_280 - 247), (1, 247)]
+
+
 # Range overwrite
 
 
